@@ -19,6 +19,13 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def slices(batch: pa.RecordBatch, name: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a text column, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(column_of(batch, name)), 0).to_pylist()
+    for begin, end in cut(sizes, most):
+        yield batch.slice(begin, end - begin)
+
+
 def cut(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes sum to about ``most``; one that is larger stands alone."""
     begin = total = 0

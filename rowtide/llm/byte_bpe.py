@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowtide.llm.arrow import binary_array, cut, ragged, texts_of
-from rowtide.llm.tokens import PieceCache
+from rowtide.llm.arrow import binary_array, ragged, slices, texts_of
+from rowtide.llm.tokens import PieceCache, in_groups, one_by_one
 
 #: Pieces that no match of the pattern crosses.
 PIECES = re.compile(rb"[\x09-\x0d ]*[^\x09-\x0d ]+|[\x09-\x0d ]+\Z")
 #: White space beyond ASCII, in UTF-8.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 CHUNK_BYTES = 1 << 20
+JOINED = 2_000
 
 
 def byte_characters() -> list[str]:
@@ -71,30 +72,37 @@ class ByteBPE:
     """Encoder and decoder of one worker."""
 
     def __init__(self, tokens: list[bytes], model: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
-        self.cache = PieceCache(self.encode_whole)
+        self.model, self.tokenizer = model, None
+        self.cache = PieceCache(self.encode_pieces)
         self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.start = np.cumsum(self.length) - self.length
 
-    def encode_whole(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+    def encode_batch(self, texts, **options):
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.model)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that begin with a space go in one text: what precedes a space does not change what follows."""
+        space = [p[:1] == b" " for p in pieces]
+        return in_groups(pieces, [([i for i, s in enumerate(space) if s], self.encode_joined), ([i for i, s in enumerate(space) if not s], lambda own: one_by_one(self.encode_batch, own))])
+
+    def encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.encode_batch([b"".join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False)])
+        ends = np.cumsum(self.length[ids])
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))))
+        return ids, np.diff(last, prepend=-1)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        ids, counts = [], []
-        for begin, end in cut([len(t) for t in texts], CHUNK_BYTES):
-            part = texts[begin:end]
-            if any(map(OTHER_SPACE.search, part)):
-                for text in part:
-                    got = np.array(self.encode_whole([text])[0], dtype=np.uint32) if OTHER_SPACE.search(text) else self.cache.encode_pieces(PIECES.findall(text))[0]
-                    ids.append(got), counts.append([len(got)])
-            else:
-                got, count = self.cache.encode_texts([PIECES.findall(t) for t in part])
-                ids.append(got), counts.append(count)
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        if not any(map(OTHER_SPACE.search, texts)):
+            return self.cache.encode_texts([PIECES.findall(t) for t in texts])
+        got = [(one_by_one(self.encode_batch, [t])[0] if OTHER_SPACE.search(t) else self.cache.encode_texts([PIECES.findall(t)])[0]) for t in texts]
+        return np.concatenate(got), np.array([len(g) for g in got], dtype=np.int64)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids, and the number of bytes of each id."""
@@ -144,7 +152,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", to:
 
     def run(batches):
         bpe = _worker(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text, CHUNK_BYTES)):
             texts = texts_of(batch, text)
             ids, counts = bpe.encode(texts)
             bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -165,7 +173,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: s
 
     def run(batches):
         bpe = _worker(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ids, CHUNK_BYTES)):
             raw = texts_of(batch, ids)
             flat = np.frombuffer(b"".join(raw), dtype="<u4")
             data, length = bpe.decode(flat)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import byte_bpe, imatch, language, quality, simhash, storage, token_files
+from rowtide.llm import bwt_dedup, byte_bpe, imatch, language, passages, quality, simhash, storage, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op4_byte_bpe(spark, sf_dir):
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_passages(spark, sf_dir):
+    found = passages.remove_passages(table(spark, sf_dir, "documents", "doc_id", "text"), size=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_bwt_dedup(spark, sf_dir):
+    found = bwt_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), size=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -45,5 +55,5 @@ def op10_imatch(spark, sf_dir):
     return imatch.fingerprint_edits(documents, imatch.lexicon(documents))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_byte_bpe, op8_quality, op9_token_files, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_byte_bpe, op6_passages, op7_bwt_dedup, op8_quality, op9_token_files, op10_imatch)}
 ORACLES: dict[str, str] = {}

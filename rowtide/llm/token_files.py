@@ -13,15 +13,18 @@ Null and empty texts have just the end id. Repeated rows are written as often as
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.arrow import binary_array, column_of, cut, texts_of
+from rowtide.llm.arrow import binary_array, column_of, cut, slices, texts_of
 from rowtide.llm.storage import release
-from rowtide.llm.tokens import PieceCache
+from rowtide.llm.tokens import PieceCache, in_groups, one_by_one
 
 NULL_ID = -(2**63)
 CHUNK_BYTES = 1 << 20
@@ -35,22 +38,50 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: End punctuation after a letter or digit of ASCII: the tokenizer cuts there with or without a space.
+_END = re.compile(rb"(?<=[A-Za-z0-9])[.,!?;:]+(?![^\x09-\x0d ])")
+_PLAIN = re.compile(rb"[a-z]+").fullmatch
+JOINED = 2_000
+
+
 def _cache(shared) -> PieceCache:
     key, model = shared.value
     if key not in _loaded:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model)
-        tokenizer.encode_special_tokens = True
-        _loaded[key] = PieceCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)])
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        whole, bare = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        whole.encode_special_tokens = bare.encode_special_tokens = True
+        # of words of a to z alone, normalising changes nothing and splitting makes one token list each
+        bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        vocab = bare.get_vocab()
+        ends = np.zeros(1 + max(vocab.values()), dtype=bool)
+        ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+
+        def each(pieces):
+            return one_by_one(whole.encode_batch_fast, pieces)
+
+        def joined(pieces, by=bare):
+            """Words of letters in one text; the end of word in the vocabulary tells them apart again."""
+            groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in by.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)])
+            last = np.flatnonzero(ends[ids])
+            return (ids, np.diff(last, prepend=-1)) if len(last) == len(pieces) and last[-1] == len(ids) - 1 else each(pieces)
+
+        def encode(pieces):
+            kind = [0 if _PLAIN(p) else 1 if p.decode("utf-8", "surrogatepass").isalpha() else 2 for p in pieces]
+            own = [[i for i, k in enumerate(kind) if k == n] for n in range(3)]
+            return in_groups(pieces, [(own[0], joined), (own[1], lambda words: joined(words, whole)), (own[2], each)])
+
+        _loaded[key] = PieceCache(encode)
     return _loaded[key]
 
 
 def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Write df's texts under the folder and return the manifest: part, n_docs, n_tokens, width in bytes.
 
-    For tokenizers that drop white space and never join words over it: words are encoded apart, through a
-    bounded cache. One shuffle, by doc_id range.
+    For lower-casing tokenizers that drop white space and never join words over it: words are encoded apart,
+    through a bounded cache. One shuffle, by doc_id range.
     """
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -76,9 +107,8 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, d
             if files is None:
                 files = [store.open_output_stream(t) for t in temporary]
                 files[1].write(np.zeros(1, dtype="<i8").tobytes())
-            texts = texts_of(batch, "text")
-            for begin, end in cut([len(t) for t in texts], CHUNK_BYTES):
-                ids, counts = cache.encode_texts([t.split() for t in texts[begin:end]])
+            for part_of in slices(batch, "text", CHUNK_BYTES):
+                ids, counts = cache.encode_texts([_END.sub(rb" \g<0>", t.lower()).split() for t in texts_of(part_of, "text")])
                 ends = np.cumsum(counts)
                 files[0].write(np.insert(ids, ends, end_id).astype(f"<u{width}").tobytes())
                 files[1].write((tokens + ends + np.arange(1, len(ends) + 1)).astype("<i8").tobytes())

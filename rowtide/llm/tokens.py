@@ -3,62 +3,98 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from rowtide.llm.arrow import ragged
 
 
+class _Slots(dict):
+    """Numbers pieces as they come; ``new`` lists those not encoded yet."""
+
+    new: list[bytes]
+
+    def __missing__(self, piece: bytes) -> int:
+        slot = self[piece] = len(self)
+        self.new.append(piece)
+        return slot
+
+
 class PieceCache:
-    """Token ids of byte pieces, at most ``limit`` of them; a full cache starts over.
+    """Token ids of byte pieces. When more than ``limit`` are held, the half used least is forgotten.
 
-    ``encode`` gives the ids of each of a list of distinct pieces.
+    ``encode`` gives the ids of a list of distinct pieces, one after another, and the number of ids of each.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.start = np.zeros(1024, dtype=np.int64)
-        self.length = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.uint32)
-        self.used = 0
-
-    def add(self, pieces: list[bytes]) -> None:
-        got = self.encode(pieces)
-        first, last = len(self.slots), len(self.slots) + len(pieces)
-        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        total = int(lengths.sum())
+        self._reset({})
+        self.ids, self.used = np.zeros(4096, dtype=np.uint32), 0
+
+    def _reset(self, kept: dict[bytes, int]) -> None:
+        self.slots = _Slots(kept)
+        self.slots.new = []
+        self.start, self.length, self.uses = (np.zeros(max(1024, 2 * len(kept)), dtype=np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        n = len(self.slots)
+        keep = np.zeros(n, dtype=bool)
+        keep[np.argpartition(self.uses[:n], n // 2)[n // 2 :]] = True
+        start, length, uses = self.start[:n][keep], self.length[:n][keep], self.uses[:n][keep] // 2
+        self.ids = self.ids[ragged(start, length)]
+        self.used = len(self.ids)
+        self._reset({p: i for i, p in enumerate(p for p, k in zip(self.slots, keep.tolist()) if k)})
+        m = len(start)
+        self.start[:m], self.length[:m], self.uses[:m] = np.cumsum(length) - length, length, uses
+
+    def _add(self) -> None:
+        pieces = self.slots.new
+        ids, lengths = self.encode(pieces)
+        last = len(self.slots)
+        first = last - len(pieces)
+        total = len(ids)
         if last > len(self.start):
-            size = max(last, 2 * len(self.start))
-            self.start, self.length = (np.concatenate([a[:first], np.zeros(size - first, dtype=np.int64)]) for a in (self.start, self.length))
+            self.start, self.length, self.uses = (np.concatenate([a, np.zeros(max(last, len(a)), dtype=np.int64)]) for a in (self.start, self.length, self.uses))
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, total), dtype=np.uint32)])
         self.length[first:last] = lengths
         self.start[first:last] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=total)
+        self.ids[self.used : self.used + total] = ids
         self.used += total
-        self.slots.update(zip(pieces, range(first, last)))
-
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each piece."""
-        found = list(map(self.slots.get, pieces))
-        if None in found:
-            new = list({p for p, s in zip(pieces, found) if s is None})
-            if len(self.slots) + len(new) > self.limit and self.slots:
-                self.clear()
-                new = list(set(pieces))
-            self.add(new)
-            found = list(map(self.slots.__getitem__, pieces))
-        slots = np.array(found, dtype=np.int64)
-        lengths = self.length[slots]
-        return self.ids[ragged(self.start[slots], lengths)], lengths
+        self.slots.new = []
 
     def encode_texts(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts given as their pieces, and the number of ids of each text."""
-        ids, lengths = self.encode_pieces([p for text in texts for p in text])
+        if len(self.slots) > self.limit:
+            self._forget()
+        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum()))
+        if self.slots.new:
+            self._add()
+        np.add.at(self.uses, slots, 1)
+        lengths = self.length[slots]
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        return ids, np.diff(sums[bounds])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids[ragged(self.start[slots], lengths)], np.diff(sums[bounds])
+
+
+def one_by_one(encode_batch: Callable, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers of pieces that are encoded as texts of their own."""
+    got = [e.ids for e in encode_batch([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)]
+    lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+    return np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+
+def in_groups(pieces: list[bytes], groups: list[tuple[list[int], Callable]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers of pieces whose indices are dealt to groups, each with its own encode, in the pieces' order."""
+    lengths = np.zeros(len(pieces), dtype=np.int64)
+    start = np.zeros(len(pieces), dtype=np.int64)
+    flat, used = [], 0
+    for own, encode in groups:
+        if own:
+            ids, n = encode([pieces[i] for i in own])
+            lengths[own], start[own] = n, used + np.cumsum(n) - n
+            flat.append(ids)
+            used += len(ids)
+    return (np.concatenate(flat)[ragged(start, lengths)] if flat else np.zeros(0, dtype=np.uint32)), lengths

@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm import seeds
-from rowtide.llm.arrow import column_of, cut, slices, texts_of
-from rowtide.llm.kernels import mix64, U64
+from rowtide.llm.arrow import binary_array, column_of, cut, ragged, slices, texts_of
+from rowtide.llm.kernels import U64, mix64
 from rowtide.llm.passages import covered
 from rowtide.llm.storage import materialize
 
@@ -143,8 +144,8 @@ def _seeds(df: DataFrame, size: int, k: int) -> DataFrame:
                 bounds = np.cumsum([0] + [len(t) for t in texts])
                 for low, high in seeds.segments(len(data), size) if len(texts) == 1 else [(0, len(data))]:
                     own = bounds if len(texts) > 1 else np.array([0, high - low])
-                    anchor, context, text, start, count = seeds.occurrences(_TABLE[data[low:high]], own, size, k)
-                    parts.append((anchor, context, rows[text], start - own[text] + low, count))
+                    anchor, context, text, start, count, place = seeds.occurrences(_TABLE[data[low:high]], own, size, k)
+                    parts.append((anchor, context, rows[text], start - own[text] + low, count, place))
             yield seeds.seed_batch(parts, False)
 
     return df.where("row is not null").select("row", "text").mapInArrow(run, seeds.SEEDS)
@@ -154,67 +155,100 @@ def _contexts(texts: DataFrame, size: int) -> DataFrame:
     """anchor, doc, packed and the bytes of each context to be refined."""
 
     def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for data, row, spans, anchors in zip(texts_of(batch, "text"), column_of(batch, "row").to_pylist(), column_of(batch, "spans"), column_of(batch, "anchors")):
-                packed = spans.values.to_numpy()
-                position, count = seeds.unpack(packed)
-                out[0] += anchors.values.to_pylist()
-                out[1] += [row] * len(packed)
-                out[2] += packed.tolist()
-                out[3] += [data[p : p + c + size - 1] for p, c in zip(position.tolist(), count.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "doc", "packed", "context"])
+        for batch in (part for whole in batches for part in slices(whole, "text", 2 * CHUNK)):
+            data = texts_of(batch, "text")
+            spans, anchors = column_of(batch, "spans"), column_of(batch, "anchors")
+            counts = pc.list_value_length(spans).to_numpy()
+            packed = spans.flatten().to_numpy()
+            begin = np.cumsum([0] + [len(t) for t in data])[:-1]
+            position, count = seeds.unpack(packed)
+            length = count + size - 1
+            flat = np.frombuffer(b"".join(data), dtype=np.uint8)[ragged(position + np.repeat(begin, counts), length)]
+            row = np.repeat(column_of(batch, "row").to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([anchors.flatten(), pa.array(row), pa.array(packed), binary_array(flat, np.concatenate([[0], np.cumsum(length)]))], names=["anchor", "doc", "packed", "context"])
 
     return texts.mapInArrow(run, "anchor long, doc long, packed long, context binary")
 
 
-def _refined(contexts: DataFrame, size: int, collection: int, shard: int) -> DataFrame:
+def alive(anchor: np.ndarray, doc: np.ndarray, packed: np.ndarray, begin: np.ndarray, flat: np.ndarray, size: int, k: int, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last start of each context that can be repeated in another document; none if last < first.
+
+    All windows whose anchor is from a to b bytes after their start have the bytes from a before the anchor to
+    size - b after it in common. If no other document has these there, it has none of the windows.
+    """
+    _, count = seeds.unpack(packed)
+    place = packed >> 6 & 63
+    spans = seeds.Spans(_TABLE[flat])
+    first, last = np.full(len(anchor), 1 << 30), np.full(len(anchor), -1)
+    for a in range(0, size - k + 1, width):
+        b = min(a + width - 1, size - k)
+        low, high = np.maximum(0, place - b), np.minimum(count - 1, place - a)
+        own = np.flatnonzero(low <= high)
+        at = begin[own] + place[own]
+        key = mix64(spans.hash(at - a, at + size - b) ^ anchor[own].view(U64))
+        order = np.lexsort((doc[own], key))
+        group = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if len(own) else own
+        edge = np.flatnonzero(np.diff(group, prepend=-1)) if len(own) else own
+        sorted_doc = doc[own][order]
+        several = sorted_doc[edge] != sorted_doc[np.append(edge[1:], len(own)) - 1] if len(own) else np.zeros(0, dtype=bool)
+        hit = own[order[several[group]]] if len(own) else own
+        first[hit], last[hit] = np.minimum(first[hit], low[hit]), np.maximum(last[hit], high[hit])
+    return first, last
+
+
+def _refined(contexts: DataFrame, size: int, k: int, collection: int, shard: int) -> DataFrame:
     """Packed runs of the starts in the contexts whose strings are in a smaller document; one shuffle, by anchor."""
 
-    def judge(anchor, doc, packed, context):
+    def judge(doc, position, context):
         """Starts that are repeated, of contexts with whole anchor groups."""
-        sizes = [len(c) for c in context]
-        shards = [context[a:b] for a, b in cut(sizes, shard)]
+        shards = [context[a:b] for a, b in cut([len(c) for c in context], shard)]
         string, offset, group = repeated_strings(shards, size)
         d = doc[string]
-        # equal strings of different anchors cannot be: a string has one anchor
         least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, d)
         hit = d > least[group]
-        position, _ = seeds.unpack(packed[string[hit]])
-        return doc[string[hit]], seeds.pack(position + offset[hit], np.ones(int(hit.sum()), dtype=np.int64))
+        return d[hit], seeds.pack(position[string[hit]] + offset[hit], np.ones(int(hit.sum()), dtype=np.int64))
 
     def run(batches):
-        read: list[list] = [[], [], [], []]
+        read: list[list] = [[], [], [], [], []]
         for b in batches:
             for x, n in zip(read, ("anchor", "doc", "packed")):
                 x.append(column_of(b, n).to_numpy(zero_copy_only=False))
-            read[3] += column_of(b, "context").to_pylist()
-        if not read[3]:
+            context = column_of(b, "context")
+            read[3].append(np.frombuffer(b"".join(context.to_pylist()), dtype=np.uint8))
+            read[4].append(pc.binary_length(context).to_numpy())
+        if not read[0]:
+            return
+        anchor, doc, packed, flat, length = (np.concatenate(x) for x in read)
+        del read
+        begin = np.cumsum(length) - length
+        first, last = alive(anchor, doc, packed, begin, flat, size, k)
+        order = np.flatnonzero(first <= last)
+        order = order[np.argsort(anchor[order], kind="stable")]
+        if not len(order):
             return
-        anchor, doc, packed = (np.concatenate(x) for x in read[:3])
-        order = np.argsort(anchor, kind="stable")
-        begin = 0
-        sizes = np.array([len(read[3][i]) + 1 for i in order])
-        filled = np.cumsum(sizes)
+        position = seeds.unpack(packed)[0] + first
+        begin, end = begin + first, begin + last + size
+        filled = np.cumsum((end - begin)[order] + 1)
         edges = np.append(np.flatnonzero(np.diff(anchor[order])) + 1, len(order))
-        while begin < len(order):  # collections of whole anchor groups
-            room = np.searchsorted(filled, (filled[begin - 1] if begin else 0) + collection, side="right")
-            k = np.searchsorted(edges, room, side="right") - 1
-            end = int(edges[k]) if k >= 0 and edges[k] > begin else int(edges[np.searchsorted(edges, begin, side="right")])
-            own = order[begin:end]
-            d, p = judge(anchor[own], doc[own], packed[own], [read[3][i] for i in own])
+        at = 0
+        while at < len(order):  # collections of whole anchor groups
+            room = np.searchsorted(filled, (filled[at - 1] if at else 0) + collection, side="right")
+            fit = np.searchsorted(edges, room, side="right") - 1
+            stop = int(edges[fit]) if fit >= 0 and edges[fit] > at else int(edges[np.searchsorted(edges, at, side="right")])
+            own = order[at:stop]
+            d, p = judge(doc[own], position[own], [flat[a:b].tobytes() for a, b in zip(begin[own].tolist(), end[own].tolist())])
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], names=["doc", "packed"])
-            begin = end
+            at = stop
 
     return contexts.repartition("anchor").mapInArrow(run, "doc long, packed long")
 
 
-def repeated_starts(rows: DataFrame, size: int = 50, k: int = 12, collection: int = 2 << 20, shard: int = 1 << 20) -> DataFrame:
+def repeated_starts(rows: DataFrame, size: int = 50, k: int = 20, collection: int = 2 << 20, shard: int = 1 << 20) -> DataFrame:
     """row and spans, for each row with repeated strings: packed runs of their starts."""
     first = materialize(seeds.found(_seeds(rows, size, k), False), "seeds")
     wanted = first.where(F.col("kind") == seeds.REFINED).groupBy(F.col("doc").alias("row")).agg(F.collect_list(F.struct("anchor", "packed")).alias("s")).select("row", F.col("s.anchor").alias("anchors"), F.col("s.packed").alias("spans"))
-    second = materialize(_refined(_contexts(rows.join(wanted, "row").select("row", "text", "spans", "anchors"), size), size, collection, shard), "strings")
+    second = materialize(_refined(_contexts(rows.join(wanted, "row").select("row", "text", "spans", "anchors"), size), size, k, collection, shard), "strings")
     both = first.where(F.col("kind") == seeds.REPEATED).select("doc", "packed").union(second)
     return both.groupBy(F.col("doc").alias("row")).agg(F.collect_list("packed").alias("spans"))
 

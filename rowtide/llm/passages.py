@@ -40,8 +40,8 @@ def _seeds(df: DataFrame, size: int, k: int) -> DataFrame:
                 words, bounds = _words(texts[a:b])
                 for low, high in seeds.segments(len(words), size) if b - a == 1 else [(0, len(words))]:
                     own = bounds if b - a > 1 else np.array([0, high - low])
-                    anchor, context, text, start, count = seeds.occurrences(words[low:high], own, size, k)
-                    parts.append((anchor, context, rows[a:b][text], start - own[text] + low, count))
+                    anchor, context, text, start, count, place = seeds.occurrences(words[low:high], own, size, k)
+                    parts.append((anchor, context, rows[a:b][text], start - own[text] + low, count, place))
             yield seeds.seed_batch(parts, True)
 
     return df.where("row is not null").select("row", "text").mapInArrow(run, seeds.SEEDS)
@@ -59,7 +59,7 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
                 start = np.concatenate([np.arange(p, p + c) for p, c in zip(position.tolist(), count.tolist())])
                 low = int(start.min())
                 hashes = seeds.Spans(words[low : int(start.max()) + size])
-                parts.append((hashes.hash(start - low, start - low + size), np.ones(len(start), dtype=U64), np.full(len(start), row), start, np.ones(len(start), dtype=np.int64)))
+                parts.append((hashes.hash(start - low, start - low + size), np.ones(len(start), dtype=U64), np.full(len(start), row), start, np.ones(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)))
             yield seeds.seed_batch(parts, True)
 
     return texts.mapInArrow(run, seeds.SEEDS)

@@ -47,12 +47,15 @@ class Spans:
 
 
 def occurrences(elements: np.ndarray, bounds: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
-    """anchor hash, context hash, text, first start, number of starts of each anchor occurrence of texts given
-    as one sequence cut at bounds; starts count from the beginning of the sequence."""
+    """anchor hash, context hash, text, first start, number of starts and place of the anchor after the first
+    start, of each anchor occurrence of texts given as one sequence cut at bounds; starts count from the
+    beginning of the sequence."""
+    if size - k + 1 > 63:
+        raise ValueError("size may exceed k by 62 at most")
     spans = Spans(elements)
     n = len(elements) - size + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=t) for t in (U64, U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, dtype=t) for t in (U64, U64, np.int64, np.int64, np.int64, np.int64))
     gram = spans.grams(k)
     anchor = sliding_argmin(gram, size - k + 1)
     closed = np.zeros(len(elements) + 1, dtype=np.int32)
@@ -60,13 +63,13 @@ def occurrences(elements: np.ndarray, bounds: np.ndarray, size: int, k: int) ->
     np.add.at(closed, bounds[1:], -1)
     start = np.flatnonzero(np.cumsum(closed)[:n] == 0)
     if not len(start):
-        return tuple(np.zeros(0, dtype=t) for t in (U64, U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, dtype=t) for t in (U64, U64, np.int64, np.int64, np.int64, np.int64))
     at = anchor[start]
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
     count = np.diff(np.append(first, len(start)))
     low, at = start[first], at[first]
     context = spans.hash(low, low + count + size - 1) ^ mix64((at - low).astype(U64) + U64(1))
-    return gram[at], context, np.searchsorted(bounds, low, side="right") - 1, low, count
+    return gram[at], context, np.searchsorted(bounds, low, side="right") - 1, low, count, at - low
 
 
 def segments(n: int, size: int) -> list[tuple[int, int]]:
@@ -74,12 +77,13 @@ def segments(n: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + SEGMENT + size - 1)) for a in range(0, max(1, n - size + 1), SEGMENT)]
 
 
-def pack(position: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return position << 12 | count
+def pack(position: np.ndarray, count: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    """A run of ``count`` starts at a position, and the place of its anchor after the position; both below 64."""
+    return position << 12 | anchor << 6 | count
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return packed >> 12, packed & 0xFFF
+    return packed >> 12, packed & 63
 
 
 def sift(anchor, context, doc, packed, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +108,11 @@ FOUND = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("doc"
 
 
 def seed_batch(parts: list[tuple[np.ndarray, ...]], within: bool) -> pa.RecordBatch:
-    """Rows of SEEDS from (anchor, context, doc, position, count) arrays of one batch. Repeated ones have the
+    """Rows of SEEDS from (anchor, context, doc, position, count, place) arrays of one batch. Repeated ones have the
     context 0 and, as they need not meet anything, a random anchor."""
-    anchor, context, doc, position, count = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), *[np.zeros(0, dtype=np.int64)] * 3)
+    anchor, context, doc, position, count, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), *[np.zeros(0, dtype=np.int64)] * 4)
     context[context == 0] = 1
-    packed = pack(position, count)
+    packed = pack(position, count, place)
     order, repeated, _ = sift(anchor, context, doc, packed, within)
     anchor, context, doc, packed = anchor[order], context[order], doc[order], packed[order]
     context[repeated] = 0

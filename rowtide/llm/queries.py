@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import bwt_dedup, byte_bpe, imatch, language, passages, quality, simhash, storage, token_files
+from rowtide.llm import bwt_dedup, byte_bpe, decontaminate, imatch, language, passages, quality, simhash, storage, token_files, url_templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def op1_url_templates(spark, sf_dir):
+    return url_templates.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, distance=2)
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -30,6 +34,10 @@ def op4_byte_bpe(spark, sf_dir):
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_passages(spark, sf_dir):
     found = passages.remove_passages(table(spark, sf_dir, "documents", "doc_id", "text"), size=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,5 +63,5 @@ def op10_imatch(spark, sf_dir):
     return imatch.fingerprint_edits(documents, imatch.lexicon(documents))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_byte_bpe, op6_passages, op7_bwt_dedup, op8_quality, op9_token_files, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op1_url_templates, op2_simhash, op3_language, op4_byte_bpe, op5_decontaminate, op6_passages, op7_bwt_dedup, op8_quality, op9_token_files, op10_imatch)}
 ORACLES: dict[str, str] = {}

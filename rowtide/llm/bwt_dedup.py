@@ -255,7 +255,7 @@ def repeated_starts(rows: DataFrame, size: int = 50, k: int = 20, collection: in
 
 def remove_repeats(df: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) of every row."""
-    rows = seeds.numbered(df, doc_id, text)
+    rows = seeds.numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     spans = repeated_starts(rows, size, **options)
 
     def run(batches):

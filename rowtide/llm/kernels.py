@@ -142,3 +142,32 @@ def simhash(texts: list, words: int, bits: int = 64, block: int = 200_000) -> np
             flush()
     flush()
     return out
+
+
+def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; A-Z lower-cased, a text of fewer words is one shingle."""
+    out = []
+    scale = odd_constants(words, 11)
+    for text in texts:
+        data = as_bytes(text).lower()
+        start, end = word_spans(data)
+        if not len(start):
+            out.append(np.zeros(0, dtype=U64))
+            continue
+        own = span_hashes(data, start, end)
+        n = max(1, len(own) - words + 1)
+        total = np.zeros(n, dtype=U64)
+        for j in range(min(words, len(own))):
+            total += mix64(own[j : j + n] ^ scale[j]) * scale[j]
+        out.append(np.unique(mix64(total)))
+    return out
+
+
+def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """``count`` 32-bit minimum hashes of each set; those of an empty set are all ones."""
+    scale = odd_constants(count, 23)[:, None]
+    out = np.full((len(sets), count), 0xFFFFFFFF, dtype=np.uint32)
+    for i, own in enumerate(sets):
+        for a in range(0, len(own), 2048):
+            np.minimum(out[i], ((own[None, a : a + 2048] * scale) >> U64(32)).min(axis=1).astype(np.uint32), out=out[i])
+    return out

@@ -87,7 +87,7 @@ def covered(n: int, spans, size: int) -> np.ndarray:
 
 def remove_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by single spaces (binary), of every row."""
-    rows = seeds.numbered(df, doc_id, text)
+    rows = seeds.numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     spans = repeated_windows(rows, size, k)
 
     def run(batches):
@@ -101,3 +101,27 @@ def remove_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "do
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(kept, type=pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+
+
+def strip_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with its repeated passages removed from the texts: a text that loses words has the others joined by
+    single spaces, any other stays as it is. All rows and columns stay."""
+    row, marks, names = "__row", "__spans", df.columns
+    rows = seeds.numbered(df, doc_id, text, row)
+    plain = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    spans = repeated_windows(plain, size, k).select(F.col("row").alias(row), F.col("spans").alias(marks))
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, text, CHUNK)):
+            out = []
+            for data, own in zip(texts_of(batch, text), column_of(batch, marks)):
+                if not own.is_valid:
+                    out.append(data)
+                    continue
+                words = data.split()
+                gone = covered(len(words), own.values.to_numpy(), size)
+                out.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g))
+            kept = pa.array([o.decode() for o in out], type=pa.string(), mask=column_of(batch, text).is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([kept if c == text else column_of(batch, c) for c in names], names=names)
+
+    return rows.join(spans, row, "left").select(*df.columns, marks).mapInArrow(run, df.schema)

@@ -156,13 +156,16 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 40_000, **options) -> AdditiveModel:
-    """The model of at most ``bound`` rows (or a few more, by chance) of labels (doc_id and label) joined with features."""
+def sample(labels: DataFrame, label: str = "quality", bound: int = 40_000) -> DataFrame:
+    """doc_id and label of about ``bound`` rows of labels, all of them if there are no more."""
     marked = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.min(label).alias("label"))
     count = marked.count()
-    if count > bound:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(bound / count * (1 << 30)))
-    got = marked.join(rows, "doc_id").select("doc_id", "label", "features").toPandas()  # bounded by the line above
+    return marked if count <= bound else marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(bound / count * (1 << 30)))
+
+
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 40_000, **options) -> AdditiveModel:
+    """The model of a table of features (each doc_id once is enough) and at most about ``bound`` rows of labels."""
+    got = rows.join(F.broadcast(sample(labels, label, bound)), "doc_id").select("doc_id", "label", "features").toPandas()  # bounded by the sample
     got = got.sort_values(["doc_id"], kind="stable")
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return AdditiveModel(**options).fit(x, got["label"].to_numpy(dtype=float))
@@ -199,6 +202,13 @@ def held_out(doc_id: str = "doc_id", parts: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 0, F.lit(False))
 
 
+def fit_texts(df: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 40_000, **options) -> AdditiveModel:
+    """As fit, from texts; only those of the sample have their features computed."""
+    chosen = materialize(sample(labels, label, bound), "sample")
+    own = df.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    return fit(features(own), chosen.withColumnRenamed("label", label), label, 2 * bound, **options)
+
+
 def judge(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, parts: int = 5, bound: int = 40_000) -> DataFrame:
     """doc_id, held_out, score and predicted for every row; labels of held-out rows are not read."""
     rows = materialize(features(documents), "features")

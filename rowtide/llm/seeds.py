@@ -146,14 +146,15 @@ def found(seeds: DataFrame, within: bool) -> DataFrame:
     return seeds.repartition("anchor").mapInArrow(run, FOUND)
 
 
-def numbered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text and row, a unique long in the order of doc_id (then of a hash of the text): the doc_id itself
-    if no two different texts share one. A null doc_id gives a null."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ids = rows.where("doc_id is not null").select("doc_id")
-    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows.withColumn("row", F.col("doc_id"))
-    marked = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keys = marked.where("doc_id is not null").select("doc_id", "mark").distinct().orderBy("doc_id", "mark")
-    dense = keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("doc_id long, mark long, row long")
-    return marked.join(dense, ["doc_id", "mark"], "left").select("doc_id", "text", "row")
+def numbered(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
+    """df with one more column, a unique long in the order of doc_id (then of a hash of the text): the doc_id
+    itself if no two different texts share one. A null doc_id gives a null. Columns keep their names, so
+    ``row`` must be none of them."""
+    ids = df.where(F.col(doc_id).isNotNull()).select(doc_id)
+    if ids.groupBy(doc_id).count().where("count > 1").isEmpty():
+        return df.withColumn(row, F.col(doc_id).cast("long"))
+    mark = f"{row}_mark"
+    marked = df.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
+    keys = marked.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), mark).distinct().orderBy(doc_id, mark)
+    dense = keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(f"`{doc_id}` long, `{mark}` long, `{row}` long")
+    return marked.join(dense, [doc_id, mark], "left").select(*df.columns, row)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm import kernels
-from rowtide.llm.arrow import column_of, texts_of
+from rowtide.llm.arrow import column_of, slices, texts_of
 from rowtide.llm.components import components
 from rowtide.llm.storage import materialize
 
@@ -91,3 +91,99 @@ def near_duplicates(df: DataFrame, words: int = 5, distance: int = 2, doc_id: st
 def hex64(column) -> F.Column:
     """A long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+# -- near-duplicates by similarity ---------------------------------------------------------------------------
+
+BANDS, ROWS, SUBS, SUB_ROWS, SKETCH = 16, 6, 8, 3, 128
+
+
+def _signatures(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, fp, sig (hash of the shingle set), bands and subs (hashes of groups of minimum hashes), s1 and s2
+    (the lowest bits of all of them)."""
+
+    def grouped(mins, first, groups, rows):
+        part = mins[:, first : first + groups * rows].reshape(len(mins), groups, rows).astype(np.uint64)
+        total = np.zeros((len(mins), groups), dtype=np.uint64)
+        for r in range(rows):
+            total = kernels.mix64(total ^ part[:, :, r] + np.uint64(r + 1 << 32))
+        return total ^ np.arange(groups, dtype=np.uint64)[None, :] * np.uint64(kernels.BASE)
+
+    def arrays(values):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], type=pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            texts = texts_of(batch, text)
+            fp = kernels.simhash(texts, words)[:, 0].view(np.int64)
+            sets = kernels.shingle_sets(texts, words)
+            sig = np.array([kernels.mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+            mins = kernels.minhashes(sets, SKETCH)
+            bits = np.packbits((mins & 1).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp), pa.array(sig), arrays(grouped(mins, 0, BANDS, ROWS)), arrays(grouped(mins, BANDS * ROWS, SUBS, SUB_ROWS)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["doc_id", "fp", "sig", "bands", "subs", "s1", "s2"])
+
+    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, bands array<long>, subs array<long>, s1 long, s2 long")
+
+
+def _similar_candidates(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Pairs of nodes that share a band and whose sketches agree as those of similar sets do; crowded bands are
+    dealt out again by the sub-bands."""
+    spread = 3.5 * (SKETCH * (1 - similarity**2) / 4) ** 0.5
+    most = int(SKETCH * (1 - similarity) / 2 + spread)
+    keyed = nodes.select("node", "s1", "s2", "subs", F.explode("bands").alias("key"))
+    crowded = materialize(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
+
+    def meet(rows):
+        a = rows.select("key", F.col("node").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+        b = rows.select("key", F.col("node").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+        return a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b and bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {most}")).select("a", "b")
+
+    if crowded.isEmpty():
+        return meet(keyed)
+    deeper = keyed.join(crowded, "key").select("node", "s1", "s2", "key", F.explode("subs").alias("sub")).select("node", "s1", "s2", F.xxhash64("key", "sub").alias("key"))
+    return meet(keyed.join(crowded, "key", "left_anti")).union(meet(deeper))
+
+
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id of every row: groups linked by shingle sets of at least this Jaccard similarity.
+
+    Texts with equal shingle sets are one node. Candidates are nodes whose fingerprints differ in at most
+    ``distance`` bits, and those that share a band of minimum hashes: at a similarity of 0.8, fingerprints differ
+    in ten bits of 64, too many for any index of segments. Every candidate is verified on its shingle sets.
+    """
+    prints = materialize(_signatures(df, words, doc_id, text), "signatures")
+    best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("subs").alias("subs"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    nodes = materialize(best.where("node is not null"), "nodes")
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    close = links(by_fp.select("fp"), distance)
+    close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = nodes.join(by_fp, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = materialize(_similar_candidates(nodes, similarity, hot).union(close).union(same).distinct(), "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            sets = kernels.shingle_sets(texts_of(batch, "text"), words)
+            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column_of(batch, "node"), pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(flat))], names=["node", "shingles"])
+
+    own = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
+    sets = materialize(own.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    reached = components(edges)
+    named = prints.select("doc_id", "sig").join(nodes.select("sig", "node"), "sig").join(reached, "node", "left")
+    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
+
+
+def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df with the smallest doc_id of their group, once; rows without doc_id stay."""
+    groups = materialize(similar_groups(df, words, similarity, doc_id=doc_id, text=text), "groups")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = df.join(gone, doc_id, "left_anti").select(*df.columns)
+    ids = df.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1")
+    if ids.isEmpty():
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))

@@ -2,7 +2,7 @@
 
 A rank file becomes a tokenizers model: every byte has a printable character, every token is a string of
 such characters, and each way to put a token together from two others is a merge with that token's rank.
-Texts are cut before every run of ASCII white space that follows something else. No match of the split
+Texts are cut before every run of ASCII white space. No match of the split
 pattern crosses such a cut, so the pieces can be encoded apart and kept in a bounded cache; a text with
 other white space is encoded whole. Decoding reverses the byte table; offsets follow from token lengths,
 as tokens tile the bytes of their text.
@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtide.llm.arrow import binary_array, ragged, slices, texts_of
-from rowtide.llm.tokens import PieceCache, in_groups, one_by_one
+from rowtide.llm.kernels import word_spans
+from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
 
-#: Pieces that no match of the pattern crosses.
-PIECES = re.compile(rb"[\x09-\x0d ]*[^\x09-\x0d ]+|[\x09-\x0d ]+\Z")
 #: White space beyond ASCII, in UTF-8.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 CHUNK_BYTES = 1 << 20
@@ -68,6 +67,23 @@ def model_json(tokens: list[bytes], pattern: str) -> str:
     })
 
 
+def space_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in one, starts and ends of their pieces, and the number of the first piece of each text (and of all).
+    A piece is a word with the ASCII white space before it, or the white space at the end of a text."""
+    data = b"\n".join(texts)
+    word, end = word_spans(data)
+    low = np.cumsum([0] + [len(t) + 1 for t in texts])
+    first = np.searchsorted(word, low)
+    start = np.concatenate([[0], end[:-1]]) if len(end) else end
+    opens = np.flatnonzero(first[:-1] < first[1:])
+    start[first[opens]] = low[opens]
+    last = low[:-1].copy()
+    last[opens] = end[first[opens + 1] - 1]
+    tail = np.flatnonzero(last < low[1:] - 1)
+    at = first[tail + 1]
+    return data, np.insert(start, at, last[tail]), np.insert(end, at, low[tail + 1] - 1), first + np.concatenate([[0], np.cumsum(last < low[1:] - 1)])
+
+
 class ByteBPE:
     """Encoder and decoder of one worker."""
 
@@ -99,9 +115,12 @@ class ByteBPE:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        if not any(map(OTHER_SPACE.search, texts)):
-            return self.cache.encode_texts([PIECES.findall(t) for t in texts])
-        got = [(one_by_one(self.encode_batch, [t])[0] if OTHER_SPACE.search(t) else self.cache.encode_texts([PIECES.findall(t)])[0]) for t in texts]
+        odd = [i for i, t in enumerate(texts) if OTHER_SPACE.search(t)]
+        if not odd:
+            data, start, end, first = space_pieces(texts)
+            ids, lengths = self.cache.encode_spans(data, start, end)
+            return ids, per_text(lengths, first)
+        got = [one_by_one(self.encode_batch, [t])[0] if i in odd else self.encode([t])[0] for i, t in enumerate(texts)]
         return np.concatenate(got), np.array([len(g) for g in got], dtype=np.int64)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

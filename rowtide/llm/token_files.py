@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.arrow import binary_array, column_of, cut, slices, texts_of
+from rowtide.llm.kernels import word_spans
 from rowtide.llm.storage import release
-from rowtide.llm.tokens import PieceCache, in_groups, one_by_one
+from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
 
 NULL_ID = -(2**63)
 CHUNK_BYTES = 1 << 20
@@ -38,8 +39,27 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-#: End punctuation after a letter or digit of ASCII: the tokenizer cuts there with or without a space.
-_END = re.compile(rb"(?<=[A-Za-z0-9])[.,!?;:]+(?![^\x09-\x0d ])")
+_END = np.zeros(256, dtype=bool)
+_END[list(b".,!?;:")] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
+
+
+def word_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased texts in one, starts and ends of their pieces, and the number of the first piece of each text
+    (and of all). End punctuation after a letter or digit of ASCII is a piece of its own: the tokenizer cuts there."""
+    data = b"\n".join(texts).lower()
+    start, end = word_spans(data)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    middle = end.copy()
+    for _ in range(4):
+        middle -= (middle > start) & _END[raw[np.maximum(middle - 1, 0)]]
+    cut_here = np.flatnonzero((middle > start) & (middle < end) & _ALNUM[raw[np.maximum(middle - 1, 0)]])
+    first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    first += np.searchsorted(cut_here, first)
+    return data, np.insert(start, cut_here + 1, middle[cut_here]), np.insert(end, cut_here, middle[cut_here]), first
+
+
 _PLAIN = re.compile(rb"[a-z]+").fullmatch
 JOINED = 2_000
 
@@ -108,7 +128,9 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, d
                 files = [store.open_output_stream(t) for t in temporary]
                 files[1].write(np.zeros(1, dtype="<i8").tobytes())
             for part_of in slices(batch, "text", CHUNK_BYTES):
-                ids, counts = cache.encode_texts([_END.sub(rb" \g<0>", t.lower()).split() for t in texts_of(part_of, "text")])
+                data, start, end, first = word_pieces(texts_of(part_of, "text"))
+                ids, lengths = cache.encode_spans(data, start, end)
+                counts = per_text(lengths, first)
                 ends = np.cumsum(counts)
                 files[0].write(np.insert(ids, ends, end_id).astype(f"<u{width}").tobytes())
                 files[1].write((tokens + ends + np.arange(1, len(ends) + 1)).astype("<i8").tobytes())

@@ -8,75 +8,114 @@ from itertools import chain
 import numpy as np
 
 from rowtide.llm.arrow import ragged
-
-
-class _Slots(dict):
-    """Numbers pieces as they come; ``new`` lists those not encoded yet."""
-
-    new: list[bytes]
-
-    def __missing__(self, piece: bytes) -> int:
-        slot = self[piece] = len(self)
-        self.new.append(piece)
-        return slot
+from rowtide.llm.kernels import U64, span_hashes
 
 
 class PieceCache:
-    """Token ids of byte pieces. When more than ``limit`` are held, the half used least is forgotten.
+    """Token ids of byte pieces, found by a 64-bit hash of their bytes in an open-addressing table.
 
     ``encode`` gives the ids of a list of distinct pieces, one after another, and the number of ids of each.
+    When more than ``limit`` pieces are held, the half used least is forgotten. All steps but encode work on
+    arrays of pieces; a piece is made into an object only when it is new. Two different pieces are confused
+    with a chance of 2**-64 for each pair of a new piece and one held.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
         self.encode, self.limit = encode, limit
-        self._reset({})
-        self.ids, self.used = np.zeros(4096, dtype=np.uint32), 0
-
-    def _reset(self, kept: dict[bytes, int]) -> None:
-        self.slots = _Slots(kept)
-        self.slots.new = []
-        self.start, self.length, self.uses = (np.zeros(max(1024, 2 * len(kept)), dtype=np.int64) for _ in range(3))
+        self.mask = U64((1 << (2 * limit).bit_length()) - 1)
+        self.ids, self.used, self.held = np.zeros(4096, dtype=np.uint32), 0, 0
+        self.hash = np.zeros(1024, dtype=U64)
+        self.start, self.length, self.uses = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.zeros(int(self.mask) + 1, dtype=U64)
+        self.slots = np.zeros(int(self.mask) + 1, dtype=np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 if it is not there."""
+        at = (hashes & self.mask).astype(np.int64)
+        key = self.keys[at]
+        out = np.where(key == hashes, self.slots[at], -1)
+        left = np.flatnonzero((key != hashes) & (key != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & int(self.mask)
+            key = self.keys[at[left]]
+            hit = key == hashes[left]
+            out[left[hit]] = self.slots[at[left[hit]]]
+            left = left[~hit & (key != 0)]
+        return out
+
+    def _insert(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        at = (hashes & self.mask).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.slots[at[won]] = hashes[won], slots[won]
+            left = left[self.keys[at[left]] != hashes[left]]
+            at[left] = (at[left] + 1) & int(self.mask)
+
+    def _grow(self, rows: int, ids: int) -> None:
+        if rows > len(self.start):
+            more = max(rows, 2 * len(self.start)) - len(self.start)
+            self.start, self.length, self.uses, self.hash = (np.concatenate([a, np.zeros(more, dtype=a.dtype)]) for a in (self.start, self.length, self.uses, self.hash))
+        if ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(ids, 2 * len(self.ids)) - len(self.ids), dtype=np.uint32)])
 
     def _forget(self) -> None:
-        n = len(self.slots)
-        keep = np.zeros(n, dtype=bool)
-        keep[np.argpartition(self.uses[:n], n // 2)[n // 2 :]] = True
-        start, length, uses = self.start[:n][keep], self.length[:n][keep], self.uses[:n][keep] // 2
-        self.ids = self.ids[ragged(start, length)]
-        self.used = len(self.ids)
-        self._reset({p: i for i, p in enumerate(p for p, k in zip(self.slots, keep.tolist()) if k)})
-        m = len(start)
-        self.start[:m], self.length[:m], self.uses[:m] = np.cumsum(length) - length, length, uses
-
-    def _add(self) -> None:
-        pieces = self.slots.new
+        keep = np.sort(np.argpartition(self.uses[: self.held], self.held // 2)[self.held // 2 :])
+        ids = self.ids[ragged(self.start[keep], self.length[keep])]
+        self.held = len(keep)
+        for a in (self.length, self.uses, self.hash):
+            a[: self.held] = a[keep]
+        self.uses[: self.held] //= 2
+        self.start[: self.held] = np.cumsum(self.length[: self.held]) - self.length[: self.held]
+        self.used = len(ids)
+        self.ids[: self.used] = ids
+        self._empty()
+        self._insert(self.hash[: self.held], np.arange(self.held, dtype=np.int32))
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         ids, lengths = self.encode(pieces)
-        last = len(self.slots)
-        first = last - len(pieces)
-        total = len(ids)
-        if last > len(self.start):
-            self.start, self.length, self.uses = (np.concatenate([a, np.zeros(max(last, len(a)), dtype=np.int64)]) for a in (self.start, self.length, self.uses))
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, total), dtype=np.uint32)])
-        self.length[first:last] = lengths
+        first, last = self.held, self.held + len(pieces)
+        self._grow(last, self.used + len(ids))
+        self.length[first:last], self.hash[first:last], self.uses[first:last] = lengths, hashes, 0
         self.start[first:last] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + total] = ids
-        self.used += total
-        self.slots.new = []
-
-    def encode_texts(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts given as their pieces, and the number of ids of each text."""
-        if len(self.slots) > self.limit:
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.held = last
+        self._insert(hashes, np.arange(first, last, dtype=np.int32))
+
+    def encode_spans(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of data between starts and ends, one after another, and the number of ids of each."""
+        if self.held > self.limit:
             self._forget()
-        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum()))
-        if self.slots.new:
-            self._add()
+        hashes = np.maximum(span_hashes(data, start, end), U64(1))
+        slots = self._find(hashes)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            for i in range(0, len(new), self.limit // 2):  # a text of any size leaves room in the table
+                if self.held > self.limit:
+                    break
+                self._add(new[i : i + self.limit // 2], [data[a:b] for a, b in zip(start[at[i : i + self.limit // 2]].tolist(), end[at[i : i + self.limit // 2]].tolist())])
+            slots = self._find(hashes)
+            if (slots < 0).any():
+                half = len(start) // 2
+                parts = [self.encode_spans(data, start[:half], end[:half]), self.encode_spans(data, start[half:], end[half:])]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         np.add.at(self.uses, slots, 1)
         lengths = self.length[slots]
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[ragged(self.start[slots], lengths)], np.diff(sums[bounds])
+        return self.ids[ragged(self.start[slots], lengths)], lengths
+
+
+def per_text(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The number of ids of each text, from those of its pieces; first has the number of the first piece of each
+    text, and of all pieces."""
+    return np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
 
 
 def one_by_one(encode_batch: Callable, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -1 +1 @@
-"""See the package README."""
+"""Functions from columns to columns, and small aggregations."""

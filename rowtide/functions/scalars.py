@@ -15,24 +15,26 @@ def _column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _fixed(v: Column, digits: int) -> Column:
+    """v with so many decimals, halves to even as the number is stored."""
+    return F.format_string(f"%.{digits}f", F.rint(v * 10.0**digits) / 10.0**digits)
+
+
 def _three(v: Column) -> Column:
     """v, below 1000 or so, to three significant digits without trailing zeros; whole numbers from 99.95 on."""
     size = F.abs(v)
-    text = F.lit("")
-    for digits, bound in ((5, 0.009995), (4, 0.09995), (3, 0.9995), (2, 9.995)):
-        text = F.when((size < bound) & (text == ""), F.format_string(f"%.{digits}f", v)).otherwise(text)
-    text = F.when(text == "", F.format_string("%.1f", v)).otherwise(text)
-    text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
-    return F.when(size < 99.95, text).otherwise(F.format_string("%.0f", v))
+    text = _fixed(v, 1)
+    for digits, bound in ((2, 9.995), (3, 0.9995), (4, 0.09995), (5, 0.009995)):
+        text = F.when(size < bound, _fixed(v, digits)).otherwise(text)
+    return F.when(size < 99.95, F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(_fixed(v, 0))
 
 
 def _ladder(v: Column, base: float, units: tuple[str, ...], zero: int) -> Column:
-    size = F.abs(v)
-    out = F.concat(_three(v / float(base) ** (len(units) - 1 - zero)), F.lit(units[-1]))
-    for i in range(len(units) - 2, -1, -1):
-        scaled = v / float(base) ** (i - zero)
-        out = F.when(size / float(base) ** (i - zero) < base - 0.5, F.concat(_three(scaled), F.lit(units[i]))).otherwise(out)
-    return out
+    """v over the power of the first unit that leaves less than base - 0.5, in a struct so that it is computed once."""
+    powers = F.array(*[F.lit(float(base) ** (i - zero)) for i in range(len(units))])
+    passed = F.size(F.filter(F.slice(powers, 1, len(units) - 1), lambda p: F.abs(v) / p >= base - 0.5)) + 1
+    one = F.array(F.struct((v / F.element_at(powers, passed)).alias("x"), F.element_at(F.array(*map(F.lit, units)), passed).alias("u")))
+    return F.element_at(F.transform(one, lambda s: F.concat(_three(s["x"]), s["u"])), 1)
 
 
 def si(value: Column | str) -> Column:
@@ -62,11 +64,12 @@ def repr_map(m: Column | str) -> Column:
 def short_size(value: Column | str) -> Column:
     """A number of bytes in five characters: a number below 1000 and a letter for its power of 1024."""
     v = _column(value).cast("double")
-    out = F.lit(None).cast("string")
+    out = None
     for i, unit in reversed(list(enumerate("BKMGTP"))):
         scaled = v / 1024.0**i
-        text = F.when(scaled < 9.95, F.format_string("%.1f", scaled)).otherwise(F.format_string("%.0f", scaled)) if i else F.format_string("%.0f", scaled)
-        out = F.when((scaled < 1000) | out.isNull(), F.concat(F.lpad(text, 4, " "), F.lit(unit))).otherwise(out)
+        text = F.when(scaled < 9.95, _fixed(scaled, 1)).otherwise(_fixed(scaled, 0)) if i else _fixed(scaled, 0)
+        text = F.concat(F.lpad(text, 4, " "), F.lit(unit))
+        out = text if out is None else F.when(scaled < 1000, text).otherwise(out)
     return out
 
 

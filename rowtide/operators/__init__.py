@@ -1 +1 @@
-"""See the package README."""
+"""Operators from DataFrame to DataFrame."""

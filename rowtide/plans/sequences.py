@@ -102,12 +102,12 @@ def count_rows(spark, sf_dir):
     return grouping.count_rows(table(spark, sf_dir, "lineitem", "l_orderkey"))
 
 
-@query("""select event_id, k, case when k is not null then count(*) over (partition by user_id, epoch, k order by event_id rows unbounded preceding) end as n from (
+@query("""select event_id, coalesce(k, '') as k, case when k is not null then count(*) over (partition by user_id, epoch, k order by event_id rows unbounded preceding) else 0 end as n from (
     select event_id, user_id, k, sum(case when k is null then 1 else 0 end) over (partition by user_id order by event_id rows unbounded preceding) as epoch from (
     select event_id, user_id, nullif(event_type, 'purchase') as k from events))""")
 def running_counts(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_id", "user_id", "event_type").select("event_id", "user_id", F.expr("nullif(event_type, 'purchase')").alias("k"))
-    return running.running_counts(events, "k", "event_id", ["user_id"]).select("event_id", "k", "n")
+    return running.running_counts(events, "k", "event_id", ["user_id"]).select("event_id", F.coalesce("k", F.lit("")).alias("k"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"select event_id, cast(sum({_SIGNED_SQL}) over (order by event_id rows unbounded preceding) as bigint) as total from events")

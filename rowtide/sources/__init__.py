@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of files that Spark has none for."""

@@ -1 +1 @@
-"""See the package README."""
+"""Live forms of batch operators."""

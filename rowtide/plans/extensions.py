@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rowtide.operators import events as ops
 from rowtide.plans.registry import query, table
 
-_US = F.unix_micros(F.col("start").cast("timestamp")).alias("start")
+
+def _us():
+    return F.unix_micros(F.col("start").cast("timestamp")).alias("start")
 
 
 def _events(spark, sf_dir, *columns):
@@ -16,12 +18,12 @@ def _events(spark, sf_dir, *columns):
 
 @query("select event_type, epoch_us(time_bucket(interval '1 day', ts)) as start, count(*) as n from events group by all")
 def x_tumbling(spark, sf_dir):
-    return ops.tumbling(_events(spark, sf_dir, "event_type"), "ts", "1 day", ["event_type"], F.count("*").alias("n")).select("event_type", _US, "n")
+    return ops.tumbling(_events(spark, sf_dir, "event_type"), "ts", "1 day", ["event_type"], F.count("*").alias("n")).select("event_type", _us(), "n")
 
 
 @query("select event_type, epoch_us(time_bucket(interval '6 hours', ts)) - s * 21600000000 as start, count(*) as n from events, range(0, 4) r(s) group by all")
 def x_sliding(spark, sf_dir):
-    return ops.sliding(_events(spark, sf_dir, "event_type"), "ts", "1 day", "6 hours", ["event_type"], F.count("*").alias("n")).select("event_type", _US, "n")
+    return ops.sliding(_events(spark, sf_dir, "event_type"), "ts", "1 day", "6 hours", ["event_type"], F.count("*").alias("n")).select("event_type", _us(), "n")
 
 
 @query("select user_id, session, count(*) as n from (select user_id, cast(sum(case when gap >= 86400000000 then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as bigint) as session from (select user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) as gap from events)) group by all")

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from rowtide.operators import grouping, running, sequence
 from rowtide.plans.registry import query, table
 
-CENTS = F.rint(F.col("value") * 100).cast("long")
-SIGNED = F.when(F.col("event_type").isin("click", "view"), -CENTS).otherwise(CENTS)
+
+
+def cents():
+    return F.rint(F.col("value") * 100).cast("long")
+
+
+def signed():
+    return F.when(F.col("event_type").isin("click", "view"), -cents()).otherwise(cents())
+
+
 _SIGNED_SQL = "case when event_type in ('click', 'view') then -1 else 1 end * cast(round_even(value * 100, 0) as bigint)"
 
 
@@ -20,7 +28,7 @@ def seq_windowed(spark, sf_dir):
 
 @query("select user_id, event_id, total from (select user_id, event_id, cast(sum(cast(round_even(value * 100, 0) as bigint)) over w as bigint) as total, count(*) over w as c from events window w as (partition by user_id order by event_id rows between current row and 2 following)) where c = 3")
 def seq_windowed_by_key(spark, sf_dir):
-    events = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("cents", CENTS)
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("cents", cents())
     found = sequence.windowed(events, 3, "event_id", "cents", partition_by=["user_id"])
     return found.select("user_id", "event_id", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
@@ -112,19 +120,19 @@ def running_counts(spark, sf_dir):
 
 @query(f"select event_id, cast(sum({_SIGNED_SQL}) over (order by event_id rows unbounded preceding) as bigint) as total from events")
 def cumsum(spark, sf_dir):
-    events = table(spark, sf_dir, "events", "event_id", "event_type", "value").select("event_id", SIGNED.alias("v"))
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "value").select("event_id", signed().alias("v"))
     return running.cumsum(events, "v", "event_id", to="total").select("event_id", "total")
 
 
 @query(f"select event_id, cast(max(s) over (order by event_id rows unbounded preceding) as bigint) as top from (select event_id, sum({_SIGNED_SQL}) over (order by event_id rows unbounded preceding) as s from events)")
 def max_cumsum(spark, sf_dir):
-    events = table(spark, sf_dir, "events", "event_id", "event_type", "value").select("event_id", SIGNED.alias("v"))
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "value").select("event_id", signed().alias("v"))
     return running.maximum_cumsum(events, "v", "event_id", to="top").select("event_id", "top")
 
 
 @query("select event_id, cast(max(s) over (partition by event_type order by event_id rows unbounded preceding) as bigint) as top from (select event_id, event_type, sum(case when event_id % 2 = 0 then -1 else 1 end * cast(round_even(value * 100, 0) as bigint)) over (partition by event_type order by event_id rows unbounded preceding) as s from events)")
 def max_cumsum_by_key(spark, sf_dir):
-    events = table(spark, sf_dir, "events", "event_id", "event_type", "value").select("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, -CENTS).otherwise(CENTS).alias("v"))
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "value").select("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, -cents()).otherwise(cents()).alias("v"))
     return running.maximum_cumsum(events, "v", "event_id", ["event_type"], to="top").select("event_id", "top")
 
 
@@ -134,7 +142,7 @@ def max_cumsum_by_key(spark, sf_dir):
     select event_type, cast(max(o) as bigint) as max_concurrency from run group by event_type""")
 def max_concurrency(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_type", "ts", "value").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return running.max_concurrency(events, F.col("t"), F.col("t") + CENTS * 1_000_000, ["event_type"])
+    return running.max_concurrency(events, F.col("t"), F.col("t") + cents() * 1_000_000, ["event_type"])
 
 
 @query("""with t as (select l_partkey, cast(sum(cast(round_even(l_extendedprice * (1 - l_discount) * 100, 0) as bigint)) as bigint) as total from lineitem group by l_partkey),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowtide.plans.caches import batch_timeout, cache_ttl
 from rowtide.plans.registry import ORACLES, query
-from rowtide.plans.sequences import _SIGNED_SQL, SIGNED
+from rowtide.plans.sequences import _SIGNED_SQL, signed
 from rowtide.streaming import runner, state
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,7 +37,7 @@ def s_running_counts(spark, sf_dir):
 
 @query(f"select event_id, cast(max(s) over (partition by event_type order by event_id rows unbounded preceding) as bigint) as top from (select event_id, event_type, sum({_SIGNED_SQL}) over (partition by event_type order by event_id rows unbounded preceding) as s from events)")
 def s_actor_top(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("event_id", "event_type", SIGNED.alias("v"))
+    rows = _events(spark, sf_dir).select("event_id", "event_type", signed().alias("v"))
     with _rocks(spark):
         return runner.run_to_end(state.with_state(rows, ["event_type"], state.RunningTop("event_id", ["event_id"], "top"), "event_id long, top long"))
 

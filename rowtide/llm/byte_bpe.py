@@ -183,6 +183,24 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", to:
     return df.mapInArrow(run, schema)
 
 
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df without its text, with its ids and the bytes they stand for, both made in one pass by one worker."""
+    shared = share(df.sparkSession, ranks_path, pattern)
+    kept = [c for c in df.columns if c not in (text, ids, decoded)]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
+
+    def run(batches):
+        bpe = _worker(shared)
+        for batch in (part for whole in batches for part in slices(whole, text, CHUNK_BYTES)):
+            flat, counts = bpe.encode(texts_of(batch, text))
+            data, length = bpe.decode(flat)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            sums = np.concatenate([[0], np.cumsum(length)])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept] + [binary_array(flat.astype("<u4").view(np.uint8), bounds * 4), binary_array(data, sums[bounds])], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with a binary column of the bytes that ids stand for; a null is empty. Ids cut inside a character
     give the bytes there are: ``decode_text`` shows what is left of it as U+FFFD."""

@@ -72,6 +72,9 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     # slots: only items that have placeholders need the documents' values
     slotted = items.where(F.expr(f"exists(tokens, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))")).select("item_id", "tokens", raw_tokens(F.col("text")).alias("item_raw"))
     wanted = materialize(met.join(total.select("doc_id", "item_id"), (met["doc_id"].eqNullSafe(total["doc_id"])) & (met["item_id"] == total["item_id"]), "left_semi").join(slotted, "item_id"), "slots")
+    nothing = F.lit(0).cast("long")
+    if wanted.isEmpty():
+        return total.select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))
     values = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "item_id", "shift", "js", "width", "tokens", "item_raw", raw_tokens(F.col("text")).alias("raw"))
     places = values.withColumn("p", F.expr(f"filter(array_distinct(flatten(transform(js, j -> sequence(j, j + width - 1)))), p -> get(tokens, p - 1) in ('{NUMBER}', '{NAME}', '{UNIT}'))"))
     pairs = places.select("doc_id", "item_id", F.expr("explode(transform(p, p -> struct(get(item_raw, p - 1) as was, get(raw, p - 1 + shift) as now)))").alias("s"))

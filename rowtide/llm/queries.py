@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm import bwt_dedup, byte_bpe, decontaminate, imatch, language, passages, quality, simhash, storage, token_files, url_templates
+from rowtide.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = storage.small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
@@ -29,8 +30,7 @@ def op3_language(spark, sf_dir):
 
 def op4_byte_bpe(spark, sf_dir):
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern).select("doc_id", "ids")
-    back = byte_bpe.decode(ids, ranks, pattern)
+    back = byte_bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -64,4 +64,5 @@ def op10_imatch(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_templates, op2_simhash, op3_language, op4_byte_bpe, op5_decontaminate, op6_passages, op7_bwt_dedup, op8_quality, op9_token_files, op10_imatch)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -51,3 +51,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> SparkSession:
+    """Bound the Arrow batches of the session: texts differ so much in length that a bound in rows is none."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark

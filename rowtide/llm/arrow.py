@@ -9,6 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Models and caches that a worker keeps between tasks.
+CACHES: list[dict] = []
+
+
+def only(*kept: dict) -> None:
+    """Drop what a worker keeps for other operators: workers are used again, and their memory adds up."""
+    for cache in CACHES:
+        if cache and not any(cache is k for k in kept):
+            cache.clear()
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The column as UTF-8 bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm import seeds
-from rowtide.llm.arrow import binary_array, column_of, cut, ragged, slices, texts_of
+from rowtide.llm.arrow import binary_array, column_of, cut, only, ragged, slices, texts_of
 from rowtide.llm.kernels import U64, mix64
 from rowtide.llm.passages import covered
 from rowtide.llm.storage import materialize
@@ -136,6 +136,7 @@ def repeated_strings(shards: list[list[bytes]], size: int) -> tuple[np.ndarray,
 
 def _seeds(df: DataFrame, size: int, k: int) -> DataFrame:
     def run(batches):
+        only()
         for batch in batches:
             parts = []
             for piece in slices(batch, "text", CHUNK):
@@ -155,6 +156,7 @@ def _contexts(texts: DataFrame, size: int) -> DataFrame:
     """anchor, doc, packed and the bytes of each context to be refined."""
 
     def run(batches):
+        only()
         for batch in (part for whole in batches for part in slices(whole, "text", 2 * CHUNK)):
             data = texts_of(batch, "text")
             spans, anchors = column_of(batch, "spans"), column_of(batch, "anchors")
@@ -210,6 +212,7 @@ def _refined(contexts: DataFrame, size: int, k: int, collection: int, shard: int
         return d[hit], seeds.pack(position[string[hit]] + offset[hit], np.ones(int(hit.sum()), dtype=np.int64))
 
     def run(batches):
+        only()
         read: list[list] = [[], [], [], [], []]
         for b in batches:
             for x, n in zip(read, ("anchor", "doc", "packed")):
@@ -259,6 +262,7 @@ def remove_repeats(df: DataFrame, size: int = 50, doc_id: str = "doc_id", text:
     spans = repeated_starts(rows, size, **options)
 
     def run(batches):
+        only()
         for batch in (part for whole in batches for part in slices(whole, "text", 2 * CHUNK)):
             removed, runs, kept = [], [], []
             texts = texts_of(batch, "text")

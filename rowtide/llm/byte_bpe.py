@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowtide.llm.arrow import binary_array, ragged, slices, texts_of
+from rowtide.llm.arrow import CACHES, binary_array, ragged, slices, texts_of
 from rowtide.llm.kernels import word_spans
 from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
 
@@ -147,6 +147,7 @@ class ByteBPE:
 
 
 _loaded: dict[str, ByteBPE] = {}
+CACHES.append(_loaded)
 
 
 def _worker(shared) -> ByteBPE:

@@ -75,8 +75,8 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     nothing = F.lit(0).cast("long")
     if wanted.isEmpty():
         return total.select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))
-    values = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "item_id", "shift", "js", "width", "tokens", "item_raw", raw_tokens(F.col("text")).alias("raw"))
-    places = values.withColumn("p", F.expr(f"filter(array_distinct(flatten(transform(js, j -> sequence(j, j + width - 1)))), p -> get(tokens, p - 1) in ('{NUMBER}', '{NAME}', '{UNIT}'))"))
+    values = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "item_id", "shift", "js", "width", "tokens", "item_raw", tokens(F.col("text")).alias("own"), raw_tokens(F.col("text")).alias("raw"))
+    places = values.withColumn("p", F.expr(f"filter(array_distinct(flatten(transform(js, j -> sequence(j, j + width - 1)))), p -> get(tokens, p - 1) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(own, p - 1 + shift) <=> get(tokens, p - 1))"))
     pairs = places.select("doc_id", "item_id", F.expr("explode(transform(p, p -> struct(get(item_raw, p - 1) as was, get(raw, p - 1 + shift) as now)))").alias("s"))
     slots = pairs.distinct().groupBy("doc_id", "item_id", "s.was").agg(F.count("*").alias("n"), F.max(F.expr("not (s.was <=> s.now)")).alias("changed"))
     slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(n > 1)")).alias("conflicts"), F.sum(F.expr("int(changed)")).alias("n_changed"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.arrow import column_of, cut, texts_of
+from rowtide.llm.arrow import column_of, cut, only, texts_of
 from rowtide.llm.kernels import U64, mix64, span_hashes, word_spans
 from rowtide.llm.storage import materialize
 
@@ -53,6 +53,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
     """term (a 64-bit hash) and df, the number of rows that have it. Tasks add up what they read before they send it on."""
 
     def run(batches):
+        only()
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
@@ -161,6 +162,7 @@ def fingerprint_edits(df: DataFrame, words: np.ndarray, doc_id: str = "doc_id",
         )
 
     def run(batches):
+        only()
         ids, texts, done = [], [], False
         for batch in batches:
             if done:

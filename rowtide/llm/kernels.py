@@ -94,7 +94,7 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return index[:n]
 
 
-def simhash(texts: list, words: int, bits: int = 64, block: int = 200_000) -> np.ndarray:
+def simhash(texts: list, words: int, bits: int = 64, block: int = 50_000) -> np.ndarray:
     """SimHash of each text: A-Z lower-cased, ``words``-word shingles with repeats, XXH64 with seed 42.
 
     A bit is 1 if it is set in over half the shingles. A text of fewer words is one shingle; one without
@@ -115,10 +115,10 @@ def simhash(texts: list, words: int, bits: int = 64, block: int = 200_000) -> np
             return
         every = np.concatenate(hashes)
         starts = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
-        half = np.asarray(sizes, dtype=np.int64)[:, None]
+        half = np.asarray(sizes, dtype=np.int32)[:, None]
         for lane in range(lanes):
             value = every if lane == 0 else mix64(every ^ U64(lane * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            ones = np.add.reduceat(np.unpackbits(value.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int64)
+            ones = np.add.reduceat(np.unpackbits(value.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
             out[at, lane] = np.packbits(2 * ones > half, axis=1, bitorder="little").view(U64)[:, 0]
         at.clear(), sizes.clear(), hashes.clear()
         pending = 0
@@ -165,9 +165,11 @@ def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
 
 def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
     """``count`` 32-bit minimum hashes of each set; those of an empty set are all ones."""
-    scale = odd_constants(count, 23)[:, None]
+    scale = odd_constants(count, 23)
+    shift, scale = (scale >> U64(32)).astype(np.uint32)[:, None], (scale & U64(0xFFFFFFFF)).astype(np.uint32)[:, None]
     out = np.full((len(sets), count), 0xFFFFFFFF, dtype=np.uint32)
     for i, own in enumerate(sets):
-        for a in range(0, len(own), 2048):
-            np.minimum(out[i], ((own[None, a : a + 2048] * scale) >> U64(32)).min(axis=1).astype(np.uint32), out=out[i])
+        low = own.astype(np.uint32)
+        for a in range(0, len(low), 1024):
+            np.minimum(out[i], ((low[None, a : a + 1024] ^ shift) * scale).min(axis=1), out=out[i])
     return out

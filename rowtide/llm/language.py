@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowtide.llm.arrow import column_of, cut, texts_of
+from rowtide.llm.arrow import column_of, cut, only, texts_of
 from rowtide.llm.kernels import U64, mix64
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -48,6 +48,7 @@ def trigram_counts(df: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     """lang, gram and n: how often each trigram starts in the texts of each language."""
 
     def run(batches):
+        only()
         for batch in batches:
             texts, langs = _decoded(batch, text), np.array(column_of(batch, lang).to_pylist())
             for name in np.unique(langs):
@@ -115,6 +116,7 @@ def predict(df: DataFrame, model: LanguageFilter, doc_id: str = "doc_id", text:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        only()
         model = shared.value
         names = np.array([*model.languages, "und"], dtype=object)
         for batch in batches:

@@ -46,8 +46,8 @@ def byte_strings(size: int = 50) -> str:
     starts as (select doc_id, p, md5(substr(h, 2 * p + 1, {2 * size})) as k from (select doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - {size - 1}))) as p from docs)),
     firsts as (select k, min(doc_id) as f from starts group by k),
     repeated as (select doc_id, p from starts join firsts using (k) where f < doc_id),
-    bytes as (select doc_id, unnest(range(0, len(h) // 2)) as p, h from docs),
-    near as (select b.doc_id, b.p, substr(h, 2 * b.p + 1, 2) as x, max(r.p) over (partition by b.doc_id order by b.p rows unbounded preceding) as s from bytes b left join repeated r on r.doc_id = b.doc_id and r.p = b.p),
+    bytes as (select doc_id, unnest(range(0, len(h) // 2)) as p, unnest(regexp_extract_all(h, '..')) as x from docs),
+    near as (select b.doc_id, b.p, x, max(r.p) over (partition by b.doc_id order by b.p rows unbounded preceding) as s from bytes b left join repeated r on r.doc_id = b.doc_id and r.p = b.p),
     marked as (select doc_id, p, x, coalesce(p - s < {size}, false) as gone from near),
     edged as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from marked),
     kept as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, string_agg(x, '' order by p) filter (not gone) as kept from edged group by doc_id)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm import seeds
-from rowtide.llm.arrow import column_of, cut, slices, texts_of
+from rowtide.llm.arrow import column_of, cut, only, slices, texts_of
 from rowtide.llm.kernels import U64, span_hashes, word_spans
 from rowtide.llm.storage import materialize
 
@@ -34,6 +34,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(df: DataFrame, size: int, k: int) -> DataFrame:
     def run(batches):
+        only()
         for batch in batches:
             texts, rows, parts = texts_of(batch, "text"), column_of(batch, "row").to_numpy(zero_copy_only=False), []
             for a, b in cut([len(t) for t in texts], CHUNK):
@@ -51,6 +52,7 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
     """anchor (hash of a window), context 1, doc and packed of each window to be refined."""
 
     def run(batches):
+        only()
         for batch in batches:
             data, rows, parts = texts_of(batch, "text"), column_of(batch, "row").to_pylist(), []
             for text, row, spans in zip(data, rows, column_of(batch, "spans")):
@@ -91,6 +93,7 @@ def remove_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "do
     spans = repeated_windows(rows, size, k)
 
     def run(batches):
+        only()
         for batch in (part for whole in batches for part in slices(whole, "text", CHUNK)):
             total, removed, kept = [], [], []
             for data, own in zip(texts_of(batch, "text"), column_of(batch, "spans")):
@@ -112,6 +115,7 @@ def strip_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "doc
     spans = repeated_windows(plain, size, k).select(F.col("row").alias(row), F.col("spans").alias(marks))
 
     def run(batches):
+        only()
         for batch in (part for whole in batches for part in slices(whole, text, CHUNK)):
             out = []
             for data, own in zip(texts_of(batch, text), column_of(batch, marks)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.arrow import column_of, slices, texts_of
+from rowtide.llm.arrow import column_of, only, slices, texts_of
 from rowtide.llm.kernels import word_spans
 from rowtide.llm.storage import materialize
 
@@ -60,6 +60,7 @@ def features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id and features, an array of doubles, of every row."""
 
     def run(batches):
+        only()
         for batch in (part for whole in batches for part in slices(whole, text)):
             rows = np.array([features_of(t) for t in texts_of(batch, text)]).reshape(-1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), type=pa.int32()), pa.array(rows, type=pa.float64()))
@@ -175,6 +176,7 @@ def score(rows: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id and score of a table of features."""
 
     def run(batches):
+        only()
         for batch in batches:
             flat = column_of(batch, "features").flatten().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(model.score(flat.reshape(-1, len(FEATURES))))], names=["doc_id", "score"])
@@ -190,6 +192,7 @@ def score_texts(df: DataFrame, model: AdditiveModel, to: str = "score", text: st
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(to, T.DoubleType())])
 
     def run(batches):
+        only()
         for batch in (part for whole in batches for part in slices(whole, text)):
             x = np.array([features_of(t) for t in texts_of(batch, text)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([column_of(batch, c) for c in kept] + [pa.array(model.score(x))], names=schema.names)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm import kernels
-from rowtide.llm.arrow import column_of, slices, texts_of
+from rowtide.llm.arrow import column_of, only, slices, texts_of
 from rowtide.llm.components import components
 from rowtide.llm.storage import materialize
 
@@ -31,6 +31,7 @@ from rowtide.llm.storage import materialize
 def fingerprints(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint's 64 bits as a signed long."""
     def run(batches):
+        only()
         for batch in batches:
             fp = kernels.simhash(texts_of(batch, text), words)[:, 0].view(np.int64)
             yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp)], names=["doc_id", "fp"])
@@ -95,12 +96,14 @@ def hex64(column) -> F.Column:
 
 # -- near-duplicates by similarity ---------------------------------------------------------------------------
 
-BANDS, ROWS, SUBS, SUB_ROWS, SKETCH = 16, 6, 8, 3, 128
+BANDS, ROWS, SUBS, SUB_ROWS, SKETCH = 16, 6, 8, 3, 512
+_SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 def _signatures(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, fp, sig (hash of the shingle set), bands and subs (hashes of groups of minimum hashes), s1 and s2
-    (the lowest bits of all of them)."""
+    """doc_id, fp, sig (hash of the shingle set), bands and subs (hashes of groups of minimum hashes), and s0, s1 ...
+    (a bit of each of them)."""
+    names = ["doc_id", "fp", "sig", "bands", "subs", *_SKETCHES]
 
     def grouped(mins, first, groups, rows):
         part = mins[:, first : first + groups * rows].reshape(len(mins), groups, rows).astype(np.uint64)
@@ -113,35 +116,39 @@ def _signatures(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], type=pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, text)):
+        only()
+        for batch in (part for whole in batches for part in slices(whole, text, 1 << 20)):
             texts = texts_of(batch, text)
             fp = kernels.simhash(texts, words)[:, 0].view(np.int64)
             sets = kernels.shingle_sets(texts, words)
             sig = np.array([kernels.mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
             mins = kernels.minhashes(sets, SKETCH)
-            bits = np.packbits((mins & 1).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp), pa.array(sig), arrays(grouped(mins, 0, BANDS, ROWS)), arrays(grouped(mins, BANDS * ROWS, SUBS, SUB_ROWS)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["doc_id", "fp", "sig", "bands", "subs", "s1", "s2"])
+            bits = np.packbits((mins * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp), pa.array(sig), arrays(grouped(mins, 0, BANDS, ROWS)), arrays(grouped(mins, BANDS * ROWS, SUBS, SUB_ROWS)), *[pa.array(bits[:, i].copy()) for i in range(len(_SKETCHES))]], names=names)
 
-    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, bands array<long>, subs array<long>, s1 long, s2 long")
+    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, bands array<long>, subs array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES))
 
 
 def _similar_candidates(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """Pairs of nodes that share a band and whose sketches agree as those of similar sets do; crowded bands are
-    dealt out again by the sub-bands."""
-    spread = 3.5 * (SKETCH * (1 - similarity**2) / 4) ** 0.5
-    most = int(SKETCH * (1 - similarity) / 2 + spread)
-    keyed = nodes.select("node", "s1", "s2", "subs", F.explode("bands").alias("key"))
-    crowded = materialize(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
+    """Pairs of nodes that share a band and whose sketches agree as those of similar sets do.
 
-    def meet(rows):
-        a = rows.select("key", F.col("node").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-        b = rows.select("key", F.col("node").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-        return a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b and bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {most}")).select("a", "b")
-
-    if crowded.isEmpty():
-        return meet(keyed)
-    deeper = keyed.join(crowded, "key").select("node", "s1", "s2", "key", F.explode("subs").alias("sub")).select("node", "s1", "s2", F.xxhash64("key", "sub").alias("key"))
-    return meet(keyed.join(crowded, "key", "left_anti")).union(meet(deeper))
+    Bands that one node has alone go first, before sketches are attached; crowded bands are dealt out again by
+    the sub-bands. The sketches (one bit of each minimum hash) of sets of a similarity s differ in (1 - s) / 2 of
+    their bits; three standard deviations more are let through.
+    """
+    p = (1 - similarity) / 2
+    most = int(SKETCH * p + 3 * (SKETCH * p * (1 - p)) ** 0.5)
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = materialize(keyed.groupBy("key").count().where("count > 1"), "shared")
+    hits = materialize(keyed.join(shared, "key"), "hits")
+    sketched = nodes.select("node", "subs", *_SKETCHES)
+    plain = hits.where(F.col("count") <= hot).join(sketched, "node").select("key", "node", *_SKETCHES)
+    crowded = hits.where(F.col("count") > hot).join(sketched, "node").select("node", *_SKETCHES, "key", F.explode("subs").alias("sub"))
+    rows = plain.union(crowded.select(F.xxhash64("key", "sub").alias("key"), "node", *_SKETCHES))
+    a = rows.select("key", F.col("node").alias("a"), *[F.col(s).alias(f"a{s}") for s in _SKETCHES])
+    b = rows.select("key", F.col("node").alias("b"), *[F.col(s).alias(f"b{s}") for s in _SKETCHES])
+    differ = " + ".join(f"bit_count(a{s} ^ b{s})" for s in _SKETCHES)
+    return a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b and {differ} <= {most}")).select("a", "b")
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,7 +159,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     in ten bits of 64, too many for any index of segments. Every candidate is verified on its shingle sets.
     """
     prints = materialize(_signatures(df, words, doc_id, text), "signatures")
-    best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("subs").alias("subs"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("subs").alias("subs"), *[F.first(c).alias(c) for c in _SKETCHES])
     nodes = materialize(best.where("node is not null"), "nodes")
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     close = links(by_fp.select("fp"), distance)
@@ -162,7 +169,8 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        only()
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             sets = kernels.shingle_sets(texts_of(batch, "text"), words)
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate(sets).view(np.int64)

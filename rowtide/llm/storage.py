@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,14 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _own:
-        _own[context.applicationId] = tempfile.mkdtemp(prefix="rowtide-")
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="rowtide-") + "/rowtide"
         atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
     return "file://" + _own[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``clean`` deletes what was made there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_forget_local)
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables and files of this process in the shared folder; what still reads them fails afterwards."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _forget_local() -> None:
+    """At the end of the process: what a local path or file URI names."""
+    for path in _made:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def release(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.arrow import binary_array, column_of, cut, slices, texts_of
+from rowtide.llm.arrow import CACHES, binary_array, column_of, cut, slices, texts_of
 from rowtide.llm.kernels import word_spans
 from rowtide.llm.storage import release
 from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
@@ -30,6 +30,7 @@ from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
 NULL_ID = -(2**63)
 CHUNK_BYTES = 1 << 20
 _loaded: dict[str, PieceCache] = {}
+CACHES.append(_loaded)
 
 
 def filesystem(uri: str):

@@ -1,0 +1,501 @@
+"""Operators of the llm subpackage against plain models, and on odd rows: nulls, empty and long texts, ties,
+repeated rows, empty tables and further columns."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rowtide.llm import bwt_dedup, byte_bpe, components, decontaminate, imatch, kernels, language, passages, quality, simhash, storage, token_files, url_templates
+
+SCHEMA = "doc_id long, text string, row long, spans string, fp string, key string"
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """(doc_id, text) with copies, near copies, shared passages, repeats inside, odd spaces, nulls and a long text."""
+    rng = random.Random(11)
+    texts = [words(rng, rng.randrange(1, 120)) for _ in range(60)]
+    passage, line = words(rng, 45), words(rng, 22)
+    for i in range(0, 60, 4):
+        cut = rng.randrange(1, 10)
+        texts[i] = " ".join([*texts[i].split()[:cut], passage if i % 8 else line, *texts[i].split()[cut:]])
+    near = texts[5].split()
+    texts += [texts[3], texts[3], " ".join(["other", *near[1:]]), texts[7] + "  " + texts[7], "\t".join(texts[9].split()) + "\n", words(rng, 15_000, 50_000) + " " + passage]
+    texts += [None, "", "   \n", "x", "é ü ß", "a" * 5000, "ab " * 300, "!" * 130, None, texts[10].upper(), "x\x1cy z\u00a0 w"]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    return sorted(zip(ids, texts))
+
+
+@pytest.fixture
+def docs(spark, corpus):
+    rows = [(i, t, -i, "s", "f", "k") for i, t in corpus]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def data(text):
+    return b"" if text is None else text.encode()
+
+
+# -- 1 -------------------------------------------------------------------------------------------------------
+
+
+def url_model(url):
+    at = -1 if url is None else url.find("://")
+    if at < 0:
+        return "", "", None
+    rest = url[at + 3 :]
+    end = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+    path = rest[end:].split("?")[0].split("#")[0] if rest[end : end + 1] == "/" else ""
+    best = None
+    for verdict, rule in url_templates.RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, best
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://Foo.COM/en/x?q=/a#b", "x://example.com/en/7a", "a://example.com?x", "b://net/de/1", "c://a.example.net/de/8", "d://xnet/de/", "e://org", "f://É.org/es/1", "g://a.org/es/#x", "h://a.org/es", "http://com/en/http://net/de/"] * 2
+    got = url_templates.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)))
+    assert got.count() == len(urls)
+    for r in got.collect():
+        host, path, best = url_model(urls[r["page_id"]])
+        assert (r["host"], r["path"]) == (host, path)
+        assert (r["rule"], r["verdict"]) == (best if best else (None, "allow"))
+    assert url_templates.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_url_templates_learn(spark):
+    urls = [f"http://h{h}.com/{'ad' if i % 2 else 'news'}/{i}/{slug}" for h in range(2) for i in range(40) for slug in ("a", "b")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "h0.com/ad/1"), ("allow", "h0.com/news/2"), ("block", "h1.com/ad/3")]
+    got = {r["page_id"]: r for r in url_templates.filter_urls(pages, rules).collect()}
+    assert {r["template"] for i, r in got.items() if "h0.com/ad" in urls[i]} == {"/ad/{n}/*"}  # alike in their labels
+    assert {r["template"] for i, r in got.items() if "h1.com/news" in urls[i]} == {"/news/{n}/a", "/news/{n}/b"}  # no labels
+    for i, url in enumerate(urls):
+        assert got[i]["verdict"] == ("block" if "/ad/" in url else "allow"), url
+    assert {r["rule"] for i, r in got.items() if "/ad/" in urls[i]} == {"h0.com/ad/1", "h1.com/ad/3", None}
+    many = spark.createDataFrame([(i, f"http://x.y/p/{chr(97 + i % 26)}{chr(97 + i // 26)}/q") for i in range(200)], "page_id long, url string")
+    assert {r["template"] for r in url_templates.filter_urls(many, ()).collect()} == {"/p/*/q"}
+
+
+# -- 2 -------------------------------------------------------------------------------------------------------
+
+
+def print_model(text, n):
+    own = data(text).lower().split()
+    if not own:
+        return 0
+    shingles = [b" ".join(own[i : i + n]) for i in range(max(1, len(own) - n + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(ids, linked):
+    least = {i: i for i in ids}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i in ids:
+        for j in ids:
+            if i < j and linked(i, j) and find(i) != find(j):
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(docs, corpus, none):
+    prints = {i: print_model(t, 3) for i, t in corpus}
+    want = groups(list(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    got = simhash.near_duplicates(docs, words=3, distance=2).select("doc_id", simhash.hex64(F.col("fp")).alias("h"), "component_id").collect()
+    assert {r["doc_id"]: (r["h"], r["component_id"]) for r in got} == {i: (f"{p:016x}", want[i]) for i, p in prints.items()}
+    assert simhash.near_duplicates(none).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4])
+def test_links(spark, distance, hot):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(5))) for b in base for _ in range(25)})
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), distance, hot).collect()}
+    assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(500, 500), (0, 1)]
+    want = groups(sorted({x for e in edges for x in e}), lambda i, j: (i, j) in edges or (j, i) in edges)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: c for n, c in want.items() if n != 500}
+
+
+@pytest.mark.parametrize("hot", [2, 300])
+def test_similar_groups(docs, corpus, spark, hot):
+    sets = {i: set(kernels.shingle_sets([t], 5)[0].tolist()) for i, t in corpus}
+    similar = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = groups(list(sets), similar)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, hot=hot).collect()}
+    assert got == want
+    extra = spark.createDataFrame([(None, "no id"), (3, dict(corpus)[3]), (3, dict(corpus)[3])], "doc_id long, text string")
+    kept = simhash.deduplicate(docs.select("doc_id", "text").union(extra)).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id"]
+
+
+# -- 3 -------------------------------------------------------------------------------------------------------
+
+
+def test_language(spark, none):
+    rng = random.Random(8)
+    sounds = {"xx": "ba bo ka lo mi", "yy": "zer tun vök ßel", "zz": "qui ñar lle chó"}
+    make = lambda lang: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(3)) for _ in range(20))
+    rows = [(i, make(lang), lang) for i, lang in enumerate(sorted(sounds) * 40)] + [(900, None, "xx"), (901, "12 34!", "xx"), (902, "", None), (903, make("yy"), None), (None, make("zz"), "zz")]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("gram", F.lit(1))).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in by if i is not None)
+    assert all(by[i]["lang_pred"] == lang for i, t, lang in rows if lang and t and i != 901)
+    assert by[903]["lang_pred"] == "yy" and all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (900, 901, 902))
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert language.identify(none.withColumn("lang", F.lit("x"))).collect() == []
+
+
+def test_language_does_not_depend_on_neighbours():
+    model = language.LanguageFilter(["a", "b"], [np.unique(language.trigrams(["abcabd xyz"])[0]), np.unique(language.trigrams(["q r s tuv"])[0])])
+    texts = ["abc", "", "xyz q", "b", "tuv abd"]
+    assert (model.counts(texts) == np.concatenate([model.counts([t]) for t in texts])).all()
+
+
+# -- 4 -------------------------------------------------------------------------------------------------------
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(docs, corpus, none, reference):
+    ids = byte_bpe.encode(docs.select("doc_id", "text", F.lit(1).alias("ids_offsets")), RANKS, PATTERN, with_offsets=True)
+    back = byte_bpe.decode(ids, RANKS, PATTERN).select("*", byte_bpe.decode_text(F.col("decoded")).alias("t")).collect()
+    both = {r["doc_id"]: r for r in byte_bpe.encode_decode(docs.select("doc_id", "text"), RANKS, PATTERN).collect()}
+    texts = dict(corpus)
+    assert len(back) == len(texts)
+    for r in back:
+        text = texts[r["doc_id"]] or ""
+        want, starts = reference.decode_with_offsets(reference.encode_ordinary(text))
+        assert np.frombuffer(r["ids"], "<u4").tolist() == reference.encode_ordinary(text)
+        assert r["decoded"] == text.encode() and r["t"] == text and want == text
+        assert all(a < b for a, b in r["ids_offsets"]) and [a for a, _ in r["ids_offsets"]] == starts
+        assert (both[r["doc_id"]]["ids"], both[r["doc_id"]]["decoded"]) == (r["ids"], r["decoded"])
+    assert byte_bpe.encode_decode(none, RANKS, PATTERN).collect() == []
+
+
+def test_byte_bpe_odd_texts(reference):
+    tokens = byte_bpe.read_ranks(RANKS)
+    bpe = byte_bpe.ByteBPE(tokens, byte_bpe.model_json(tokens, PATTERN))
+    rng = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "\x0b", "\u00a0", "\u2003", "é", "É", "'s", "don't", "12", "...", "!!", "漢字", "🙂", "\x1c", "\x00", "\u0301", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)]
+    bpe.cache.limit = 40
+    ids, counts = bpe.encode([t.encode() for t in texts])
+    ends = np.cumsum(counts)
+    for t, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == reference.encode_ordinary(t)
+        assert "".join(bpe.decode_stream(ids[a:b].tolist())) == t
+
+
+# -- 5 -------------------------------------------------------------------------------------------------------
+
+
+def test_contamination(spark):
+    train = "A train leaves at {} {} per hour, and {} waits {} hours before {} meets {} at the old station near the river."
+    items = [(1, train.format(60, "km", "Alice", 3, "Alice", "Bob")), (2, "short one here"), (3, None), (4, ""), (5, "two words"), (1, train.format(60, "km", "Alice", 3, "Alice", "Bob"))]
+    docs = [
+        (1, "So. " + train.format(75, "miles", "Carol", 5, "Carol", "Dave") + " End."), (2, train.format(75, "km", "Carol", 5, "Erin", "Dave")), (3, None), (4, ""), (5, "here is a short one here"), (6, "A train leaves at the old station."),
+        (None, train.format(60, "km", "Alice", 3, "Alice", "Bob")), (7, "x " * 4000 + train.format(1, "mi", "Zoe", 2, "Zoe", "Max")), (7, "again"), (8, train.format(60, "km", "Alice", 3, "Alice", "Bob")[:60]),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("tokens", F.lit(1)).repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_contaminated(d, b).collect()}
+    assert set(got) == {(1, 1), (5, 2), (None, 1), (7, 1)}
+    assert (got[1, 1]["n_slots"], got[1, 1]["n_changed"]) == (6, 5) and got[None, 1]["n_changed"] == 0
+    assert decontaminate.find_contaminated(d, b.limit(0)).collect() == [] and decontaminate.find_contaminated(d.limit(0), b).collect() == []
+
+
+def test_tokens_keep_their_places(spark, docs):
+    odd = spark.createDataFrame([("it cost 5kg, said McDonald to Ann\ue000 on 1.5.2020 at 3 p.m.",), ("Été à Paris, vers Lyon",)], "text string")
+    df = docs.select("text").union(odd)
+    assert df.where(F.size(decontaminate.tokens(F.col("text"))) != F.size(decontaminate.raw_tokens(F.col("text")))).count() == 0
+
+
+# -- 6 -------------------------------------------------------------------------------------------------------
+
+
+def passages_model(corpus, size):
+    seen, out = set(), {}
+    for i, text in corpus:
+        own = data(text).split()
+        gone = [False] * len(own)
+        for p in range(len(own) - size + 1):
+            window = tuple(own[p : p + size])
+            if window in seen:
+                gone[p : p + size] = [True] * size
+            seen.add(window)
+        out[i] = (len(own), sum(gone), b" ".join(w for w, g in zip(own, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("segment", [None, 64])
+def test_passages(docs, corpus, none, segment, monkeypatch):
+    if segment:
+        monkeypatch.setattr("rowtide.llm.seeds.SEGMENT", segment)
+        monkeypatch.setattr("rowtide.llm.passages.CHUNK", 200)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in passages.remove_passages(docs).collect()}
+    assert {i: (n, r, bytes(k)) for i, (n, r, k) in got.items()} == passages_model(corpus, 20)
+    assert passages.remove_passages(none).collect() == []
+
+
+def test_strip_passages(docs, corpus):
+    want = passages_model(corpus, 20)
+    rows = passages.strip_passages(docs).collect()
+    assert len(rows) == len(corpus)
+    for r in rows:
+        text = dict(corpus)[r["doc_id"]]
+        assert r["text"] == (want[r["doc_id"]][2].decode() if want[r["doc_id"]][1] else text)
+        assert (r["row"], r["spans"], r["fp"], r["key"]) == (-r["doc_id"], "s", "f", "k")
+
+
+def test_passages_with_shared_ids(spark):
+    rng = random.Random(2)
+    a, b = words(rng, 30), words(rng, 30)
+    rows = [(1, a), (1, a), (1, b + " x"), (2, a + " " + b), (None, a), (None, a)]
+    got = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"]) for r in got)
+    assert found == [(-1, 30, 0), (-1, 30, 0), (1, 30, 0), (1, 30, 0), (1, 31, 0), (2, 60, 60)]
+
+
+# -- 7 -------------------------------------------------------------------------------------------------------
+
+
+def strings_model(corpus, size):
+    seen, out = set(), {}
+    for i, text in corpus:
+        raw = data(text)
+        gone = [False] * len(raw)
+        own = [raw[p : p + size] for p in range(len(raw) - size + 1)]
+        for p, s in enumerate(own):
+            if s in seen:
+                gone[p : p + size] = [True] * size
+        seen.update(own)
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out[i] = (len(raw), sum(gone), runs, bytes(c for c, g in zip(raw, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_byte_strings(docs, corpus, none, small):
+    options = {"collection": 600, "shard": 150} if small else {}
+    rows = bwt_dedup.remove_repeats(docs, **options).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows} == strings_model(corpus, 50)
+    assert bwt_dedup.remove_repeats(none).collect() == []
+
+
+def test_suffix_order_and_interleave():
+    rng = random.Random(6)
+    for _ in range(20):
+        shards = [["".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))).encode() for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 6))]
+        strings = [s for shard in shards for s in shard]
+        string, offset, group = bwt_dedup.repeated_strings(shards, 3)
+        assert sorted(zip(string.tolist(), offset.tolist())) == sorted((i, p) for i, s in enumerate(strings) for p in range(len(s) + 1))
+        heads = [strings[i][p : p + 3] for i, p in zip(string, offset)]
+        by = {}
+        for g, h in zip(group.tolist(), heads):
+            by.setdefault(g, []).append(h)
+        assert all(len(set(v)) == 1 for v in by.values())
+        assert all(len(v) == 1 for v in by.values() if len(v[0]) < 3)
+        assert len([v for v in by.values() if len(v[0]) == 3]) == len({h for h in heads if len(h) == 3})
+
+
+# -- 8 -------------------------------------------------------------------------------------------------------
+
+
+def test_quality(spark, none):
+    rng = random.Random(9)
+    good = lambda: ". ".join(words(rng, 12).capitalize() for _ in range(8))
+    bad = lambda: " ".join(w.upper() + "!!" for w in words(rng, 60).split())
+    rows = [(i, good() if i % 2 else bad()) for i in range(400)] + [(900, None), (901, ""), (None, good())]
+    labels = [(i, i % 2) for i in range(0, 400)] + [(5, None), (None, 1), (7, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("features", F.lit(1)).withColumn("label", F.lit(1))
+    got = quality.judge(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert len(by) == len(rows)
+    assert all(by[i]["predicted"] == i % 2 and by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
+    assert by[900]["score"] == by[901]["score"] and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in by.values())
+    assert quality.judge(none, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+    unlabelled = quality.judge(d, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r["score"] for r in unlabelled} == {0.5}
+
+
+def test_held_out_labels_are_not_read(spark):
+    rows = [(i, words(random.Random(i), 30)) for i in range(200)]
+    labels = [(i, i % 2) for i in range(200)]
+    turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [{r["doc_id"]: r["score"] for r in quality.judge(d, spark.createDataFrame(x, "doc_id long, quality int")).collect()} for x in (labels, turned)]
+    assert scores[0] == scores[1]
+
+
+def test_pairs_of_features():
+    rng = np.random.default_rng(0)
+    x = rng.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.AdditiveModel().fit(x, y)
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9 and (model.pairs[0][:2]) == (1, 0)
+
+
+# -- 9 -------------------------------------------------------------------------------------------------------
+
+
+def test_token_files(spark, docs, corpus, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    folder = f"file://{tmp_path}/t"
+    manifest = token_files.write_tokens(docs, folder, path, end_id=1, parts=4)
+    rows = {r["doc_id"]: r for r in token_files.read_tokens(spark, folder).collect()}
+    start = 0
+    for i, text in corpus:
+        want = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        assert (rows[i]["start"], rows[i]["n_tokens"]) == (start, len(want)) and np.frombuffer(rows[i]["ids"], "<u4").tolist() == want
+        start += len(want)
+    parts = sorted(manifest.collect())
+    flat = np.concatenate([np.memmap(tmp_path / f"t/{p['part']:05d}.ids", dtype="<u2", mode="r") for p in parts])
+    assert len(flat) == start and sum(p["n_docs"] for p in parts) == len(corpus)
+    offsets = np.memmap(tmp_path / f"t/{parts[0]['part']:05d}.offsets", dtype="<i8", mode="r")
+    assert len(offsets) == parts[0]["n_docs"] + 1 and offsets[0] == 0 and offsets[-1] == parts[0]["n_tokens"]
+    assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".0")]
+    token_files.write_tokens(none, f"file://{tmp_path}/none", path, end_id=1)
+    assert token_files.read_tokens(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_token_files_with_odd_ids(spark, tmp_path):
+    rows = [(None, "b"), (2, "a"), (2, "a"), (2, None), (None, "a")]
+    folder = f"file://{tmp_path}/t"
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read_tokens(spark, folder).collect())
+    assert got == [(0, None, 2), (2, None, 2), (4, 2, 1), (5, 2, 2), (7, 2, 2)]
+
+
+def test_pieces_forget():
+    calls = []
+
+    def encode(pieces):
+        calls.extend(pieces)
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        return np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.uint32), lengths
+
+    from rowtide.llm.tokens import PieceCache
+
+    cache = PieceCache(encode, limit=20)
+    rng = random.Random(3)
+    for _ in range(60):
+        own = [bytes(rng.choices(b"abcdef", k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 90))]
+        raw = b" ".join(own)
+        start, end = kernels.word_spans(raw)
+        ids, lengths = cache.encode_spans(raw, start, end)
+        assert bytes(ids.astype(np.uint8)) == b"".join(own) and lengths.tolist() == [len(p) for p in own]
+    assert len(calls) > cache.held
+
+
+# -- 10 ------------------------------------------------------------------------------------------------------
+
+
+def test_imatch(spark, docs, corpus, none):
+    words_ = imatch.lexicon(docs, low=0.02, high=0.6)
+    rows = {r["doc_id"]: r for r in imatch.fingerprint_edits(docs, words_).collect()}
+    assert len(rows) == len(corpus)
+    texts = [t or "" for _, t in corpus]
+    for (i, _), text, after in zip(corpus, texts, texts[1:] + texts[:1]):
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        assert rows[i]["n_chars"] == len(text) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (rows[i]["fingerprint"] == rows[i]["edited_fingerprint"]) == (rows[i]["near_edited"] == 1.0)
+        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
+    same = {}
+    for i, text in corpus:
+        same.setdefault(text or "", set()).add(rows[i]["fingerprint"])
+    assert all(len(v) == 1 for v in same.values())
+    assert np.mean([r["near_edited"] for r in rows.values()]) > 2 * np.mean([r["near_next"] for r in rows.values()])
+    assert imatch.fingerprint_edits(none, imatch.lexicon(none)).collect() == []
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "50"])
+def test_next_document(spark, partitions):
+    rows = [(None, "n" * 8), (5, "five" * 3), (5, "five" * 3), (7, None), (2, "two two "), (9, "")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = imatch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), np.zeros(0, dtype=np.uint64)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = ["n" * 8, "two two ", "five" * 3, "five" * 3, "", ""]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest() for t, u in zip(order, order[1:] + order[:1]))
+    assert sorted(r["edited_sha256"] for r in got) == want
+
+
+def test_frequencies(docs, corpus):
+    want: dict[int, int] = {}
+    for _, text in corpus:
+        for term in imatch.terms_of([data(text)])[0].tolist():
+            want[term] = want.get(term, 0) + 1
+    got = {r["term"] & (2**64 - 1): r["df"] for r in imatch.document_frequencies(docs).collect()}
+    assert got == want
+    assert len(want) == len({w for _, t in corpus for w in data(t).lower().split()})
+
+
+# -- shared --------------------------------------------------------------------------------------------------
+
+
+def test_sliding_argmin():
+    rng = np.random.default_rng(1)
+    for n, w in ((1, 1), (5, 3), (40, 7), (40, 8), (40, 40), (3, 4)):
+        h = rng.integers(0, 4, n).astype(np.uint64)
+        want = [i + int(np.argmin(h[i : i + w])) for i in range(n - w + 1)]
+        assert kernels.sliding_argmin(h, w).tolist() == want
+
+
+def test_shared_folder(spark):
+    df = storage.materialize(spark.range(10), "t")
+    assert df.count() == 10 and storage.shared_dir(spark).endswith("/rowtide")

@@ -13,8 +13,6 @@ letter is ``und`` with score 0. Ties go to the language whose name comes first.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,7 +21,6 @@ from pyspark.sql import functions as F
 from rowtide.llm.arrow import column_of, cut, only, texts_of
 from rowtide.llm.kernels import U64, mix64
 
-LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.arange(0x10000, dtype=np.uint32)
 _KEEP[[c for c in range(0x10000) if not (0xD800 <= c < 0xE000) and not chr(c).isalpha()]] = 32
 CHUNK = 1 << 20
@@ -130,7 +127,7 @@ def predict(df: DataFrame, model: LanguageFilter, doc_id: str = "doc_id", text:
                 top = counts.argmax(axis=1)
                 score[a:b] = np.where(total > 0, counts[np.arange(len(top)), top] / np.maximum(total, 1e-9), 1 / len(model.languages))
                 best[a:b] = top
-            bare = np.array([not LETTER.search(t) for t in texts], dtype=bool)
+            bare = np.array([not any(map(str.isalpha, t)) for t in texts], dtype=bool)
             best[bare], score[bare] = len(names) - 1, 0
             yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(names[best].tolist(), type=pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 

@@ -41,7 +41,10 @@ def first_come_hits(trace: DataFrame, key: str, order_by: str | Sequence[str], c
     by first access, so the ranking runs over distinct keys only."""
     order = _names(order_by)
     keys = trace.groupBy(*partition_by, key).agg(F.min(F.struct(*order)).alias("__first"))
-    taken = keys.withColumn("__rank", F.row_number().over(Window.partitionBy(*partition_by).orderBy("__first"))).where(F.col("__rank") <= count)
+    if partition_by:
+        taken = keys.withColumn("__rank", F.row_number().over(Window.partitionBy(*partition_by).orderBy("__first"))).where(F.col("__rank") <= count)
+    else:
+        taken = keys.orderBy("__first").limit(count)  # a top-k: each task sends its first ones only
     taken = taken.select(*[F.col(c).alias(f"__{c}") for c in (*partition_by, key)], "__first")
     same = None
     for c in (*partition_by, key):

@@ -63,7 +63,7 @@ def maximum_cumsum(df: DataFrame, value: str, order_by: str | Sequence[str], par
 def running_counts(df: DataFrame, key: str, order_by: str | Sequence[str], partition_by: Sequence[str] = (), to: str = "n") -> DataFrame:
     """df with how often a row's key has come since the last null key of its partition; null for a null key."""
     order = _names(order_by)
-    rows = df.withColumn("__epoch", F.sum(F.col(key).isNull().cast("int")).over(_frame(partition_by, order)))
+    rows = cumsum(df.withColumn("__null", F.col(key).isNull().cast("long")), "__null", order, partition_by, "__epoch").drop("__null")
     n = F.count("*").over(_frame([*partition_by, "__epoch", key], order))
     return rows.withColumn(to, F.when(F.col(key).isNotNull(), n)).drop("__epoch")
 

@@ -106,6 +106,8 @@ def test_names_and_numbers(rows):
     assert values(running.dense_ids(df, "k", "ord").select("ord", "id"), "ord") == [(0, 0), (1, 1), (2, 0), (3, 2), (4, 2)]
     counts = running.running_counts(rows([(0, "a", 1), (1, "a", 1), (2, None, 1), (3, "a", 1)], "ord long, k string, p long"), "k", "ord", ["p"])
     assert values(counts.select("ord", "n"), "ord") == [(0, 1), (1, 2), (2, None), (3, 1)]
+    counts = running.running_counts(rows([(0, "a"), (1, "a"), (2, None), (3, "a")], "ord long, k string"), "k", "ord")
+    assert values(counts.select("ord", "n"), "ord") == [(0, 1), (1, 2), (2, None), (3, 1)]
 
 
 def test_concurrency_and_ema(rows):

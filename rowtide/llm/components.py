@@ -15,7 +15,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     shared folder; only two sums for the convergence test come to the driver. Loops and repeated edges are
     harmless; nodes without edges do not appear; an empty table gives an empty one. Nodes must not be null.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", small=True)
     state = None
     for _ in range(rounds):
         # large star: every larger neighbour of a node meets the least of the node and its neighbours
@@ -25,7 +25,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, meet the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        edges = materialize(small, "edges")
+        edges = materialize(small, "edges", small=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -54,7 +54,7 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     starts = items.select("item_id", "width", "tokens", F.expr("explode(sequence(1, size(tokens) - width + 1)) as j"))
     part = starts.select("item_id", "j", F.expr("slice(tokens, j, width)").alias("w"), "width")
     part = part.where(F.expr(f"2 * size(filter(w, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))) <= width"))
-    windows = materialize(part.select("item_id", "j", "width", F.xxhash64("w").alias("hash")).distinct(), "windows")
+    windows = materialize(part.select("item_id", "j", "width", F.xxhash64("w").alias("hash")).distinct(), "windows", small=True)
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most ``window`` values
     if not widths:
         return docs.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
@@ -66,12 +66,12 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
         own = one if own is None else own.union(one)
     side = F.broadcast(windows) if windows.count() <= BROADCAST else windows
     met = own.join(side, ["hash", "width"]).groupBy("doc_id", "item_id", (F.col("i") + 1 - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"), F.first("width").alias("width"))
-    met = materialize(met, "met")
+    met = materialize(met, "met", small=True)
     total = met.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_windows"))
     total = total.join(sizes, "item_id").where(F.col("n_windows") >= coverage * F.col("m")).withColumn("coverage", F.col("n_windows") / F.col("m")).drop("m")
     # slots: only items that have placeholders need the documents' values
     slotted = items.where(F.expr(f"exists(tokens, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))")).select("item_id", "tokens", raw_tokens(F.col("text")).alias("item_raw"))
-    wanted = materialize(met.join(total.select("doc_id", "item_id"), (met["doc_id"].eqNullSafe(total["doc_id"])) & (met["item_id"] == total["item_id"]), "left_semi").join(slotted, "item_id"), "slots")
+    wanted = materialize(met.join(total.select("doc_id", "item_id"), (met["doc_id"].eqNullSafe(total["doc_id"])) & (met["item_id"] == total["item_id"]), "left_semi").join(slotted, "item_id"), "slots", small=True)
     nothing = F.lit(0).cast("long")
     if wanted.isEmpty():
         return total.select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))

@@ -207,7 +207,7 @@ def held_out(doc_id: str = "doc_id", parts: int = 5) -> F.Column:
 
 def fit_texts(df: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 40_000, **options) -> AdditiveModel:
     """As fit, from texts; only those of the sample have their features computed."""
-    chosen = materialize(sample(labels, label, bound), "sample")
+    chosen = materialize(sample(labels, label, bound), "sample", small=True)
     own = df.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     return fit(features(own), chosen.withColumnRenamed("label", label), label, 2 * bound, **options)
 

@@ -53,6 +53,8 @@ def links(distinct: DataFrame, distance: int, hot: int = 200) -> DataFrame:
     segments = next(m for m in range(1, 65) if distance // m <= 1)
     bounds = [64 * i // segments for i in range(segments + 1)]
     keys = [variants("fp", lo, hi - lo, str(i)) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))]
+    # a few megabytes of fingerprints become a hundred times as much: they are dealt out first
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = distinct.select("fp", F.explode(F.expr(f"flatten(array({', '.join(f'transform({k}, v -> struct(v.key as key, v.side as side, {i} as segment))' for i, k in enumerate(keys))}))")).alias("v")).select("fp", "v.key", "v.side", "v.segment")
     pairs = _pairs(rows, distance)
     if segments == 2:  # with more segments, buckets of over two bits less have no smaller parts of use
@@ -166,7 +168,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = nodes.join(by_fp, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     pairs = materialize(_similar_candidates(nodes, similarity, hot).union(close).union(same).distinct(), "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted", small=True)
 
     def run(batches):
         only()

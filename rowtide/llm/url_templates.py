@@ -73,7 +73,7 @@ def filter_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: st
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), form(F.col("path")).alias("form"))
     forms = rows.groupBy("host", "form").agg(F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
-    tree = materialize(templates(materialize(forms, "forms"), **options), "templates")
+    tree = materialize(templates(materialize(forms, "forms", small=True), **options), "templates", small=True)
     everywhere = tree.agg(F.sum("labelled").alias("gl"), F.sum("blocked").alias("gb")).select((F.coalesce(F.col("gb") / F.nullif("gl", F.lit(0)), F.lit(0.0))).alias("g"))
     share = everywhere.first()[0]  # one number
     hosts = tree.groupBy("host").agg(((F.sum("blocked") + smooth * share) / (F.sum("labelled") + smooth)).alias("prior"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +18,14 @@ CACHES: list[dict] = []
 
 def only(*kept: dict) -> None:
     """Drop what a worker keeps for other operators: workers are used again, and their memory adds up."""
-    for cache in CACHES:
-        if cache and not any(cache is k for k in kept):
-            cache.clear()
+    dropped = [cache for cache in CACHES if cache and not any(cache is k for k in kept)]
+    for cache in dropped:
+        cache.clear()
+    if dropped:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -131,26 +131,36 @@ def _signatures(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, bands array<long>, subs array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES))
 
 
-def _similar_candidates(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """Pairs of nodes that share a band and whose sketches agree as those of similar sets do.
-
-    Bands that one node has alone go first, before sketches are attached; crowded bands are dealt out again by
-    the sub-bands. The sketches (one bit of each minimum hash) of sets of a similarity s differ in (1 - s) / 2 of
-    their bits; three standard deviations more are let through.
-    """
+def _differ(similarity: float) -> str:
+    """SQL that keeps pairs whose sketches (a bit of each minimum hash) differ as those of similar sets do: sets of a
+    similarity s differ in (1 - s) / 2 of the bits; three standard deviations more are let through."""
     p = (1 - similarity) / 2
     most = int(SKETCH * p + 3 * (SKETCH * p * (1 - p)) ** 0.5)
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").count().where("count > 1"), "shared")
-    hits = materialize(keyed.join(shared, "key"), "hits")
-    sketched = nodes.select("node", "subs", *_SKETCHES)
-    plain = hits.where(F.col("count") <= hot).join(sketched, "node").select("key", "node", *_SKETCHES)
-    crowded = hits.where(F.col("count") > hot).join(sketched, "node").select("node", *_SKETCHES, "key", F.explode("subs").alias("sub"))
-    rows = plain.union(crowded.select(F.xxhash64("key", "sub").alias("key"), "node", *_SKETCHES))
-    a = rows.select("key", F.col("node").alias("a"), *[F.col(s).alias(f"a{s}") for s in _SKETCHES])
-    b = rows.select("key", F.col("node").alias("b"), *[F.col(s).alias(f"b{s}") for s in _SKETCHES])
-    differ = " + ".join(f"bit_count(a{s} ^ b{s})" for s in _SKETCHES)
-    return a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b and {differ} <= {most}")).select("a", "b")
+    return f"{' + '.join(f'bit_count(a{s} ^ b{s})' for s in _SKETCHES)} <= {most}"
+
+
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("node").alias(side), *[F.col(s).alias(f"{side}{s}") for s in _SKETCHES])
+
+
+def _leader_pairs(hits: DataFrame, seeds: int = 2) -> DataFrame:
+    """Each node with the leaders of its bands, a random member each: a few pairs a node, whatever a band holds."""
+    pairs = None
+    for seed in range(seeds):
+        least = hits.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(seed)).alias("h"), "node"))["node"].alias("leader"))
+        one = hits.join(least, "key").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        pairs = one if pairs is None else pairs.union(one)
+    return pairs.distinct()
+
+
+def _other_pairs(hits: DataFrame, nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Pairs of nodes of different groups that share a band and have similar sketches. Crowded bands are dealt out
+    again by the sub-bands."""
+    plain = hits.where(F.col("count") <= hot).join(nodes, "node").select("key", "node", "grp", *_SKETCHES)
+    crowded = hits.where(F.col("count") > hot).join(nodes, "node").select("node", "grp", *_SKETCHES, "key", F.explode("subs").alias("sub"))
+    rows = plain.union(crowded.select(F.xxhash64("key", "sub").alias("key"), "node", "grp", *_SKETCHES))
+    a, b = _side(rows, "a", "key", F.col("grp").alias("x")), _side(rows, "b", "key", F.col("grp").alias("y"))
+    return a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b and x != y and {_differ(similarity)}")).select("a", "b").distinct()
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,6 +169,10 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     Texts with equal shingle sets are one node. Candidates are nodes whose fingerprints differ in at most
     ``distance`` bits, and those that share a band of minimum hashes: at a similarity of 0.8, fingerprints differ
     in ten bits of 64, too many for any index of segments. Every candidate is verified on its shingle sets.
+
+    Bands are compared in two rounds. First each node meets random leaders of its bands; that joins most of a
+    large group of copies by a few pairs a node. Then only nodes of different groups meet, so no link between
+    groups is lost and the pairs inside a group are never listed.
     """
     prints = materialize(_signatures(df, words, doc_id, text), "signatures")
     best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("subs").alias("subs"), *[F.first(c).alias(c) for c in _SKETCHES])
@@ -167,8 +181,12 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     close = links(by_fp.select("fp"), distance)
     close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = nodes.join(by_fp, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs = materialize(_similar_candidates(nodes, similarity, hot).union(close).union(same).distinct(), "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted", small=True)
+    printed = materialize(close.union(same), "printed", small=True)
+
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1")
+    hits = materialize(keyed.join(shared, "key"), "hits")
+    wanted = hits.select("node").union(printed.select(F.col("a").alias("node"))).union(printed.select(F.col("b").alias("node"))).distinct()
 
     def run(batches):
         only()
@@ -180,10 +198,17 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
 
     own = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
     sets = materialize(own.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    reached = components(edges)
+
+    def verified(pairs, name):
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), name, small=True)
+
+    led = _leader_pairs(hits).join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_differ(similarity)).select("a", "b")
+    first = components(verified(led.union(printed).distinct(), "first"))
+    grouped = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "subs", *_SKETCHES)
+    more = verified(_other_pairs(hits, grouped, similarity, hot), "more")
+    reached = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = prints.select("doc_id", "sig").join(nodes.select("sig", "node"), "sig").join(reached, "node", "left")
     return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
 

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowtide.llm.arrow import CACHES, binary_array, ragged, slices, texts_of
+from rowtide.llm.arrow import CACHES, binary_array, only, ragged, slices, texts_of
 from rowtide.llm.kernels import word_spans
-from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
+from rowtide.llm.tokens import PieceCache, in_groups, load_tokenizer, one_by_one, per_text
 
 #: White space beyond ASCII, in UTF-8.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -96,9 +96,7 @@ class ByteBPE:
 
     def encode_batch(self, texts, **options):
         if self.tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_str(self.model)
+            self.tokenizer = load_tokenizer(self.model)
         return self.tokenizer.encode_batch_fast(texts, **options)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +150,7 @@ CACHES.append(_loaded)
 
 def _worker(shared) -> ByteBPE:
     key, tokens, model = shared.value
+    only(_loaded)
     if key not in _loaded:
         _loaded[key] = ByteBPE(tokens, model)
     return _loaded[key]

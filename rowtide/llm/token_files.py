@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.arrow import CACHES, binary_array, column_of, cut, slices, texts_of
+from rowtide.llm.arrow import CACHES, binary_array, column_of, cut, only, slices, texts_of
 from rowtide.llm.kernels import word_spans
 from rowtide.llm.storage import release
-from rowtide.llm.tokens import PieceCache, in_groups, one_by_one, per_text
+from rowtide.llm.tokens import PieceCache, in_groups, load_tokenizer, one_by_one, per_text
 
 NULL_ID = -(2**63)
 CHUNK_BYTES = 1 << 20
@@ -67,10 +67,11 @@ JOINED = 2_000
 
 def _cache(shared) -> PieceCache:
     key, model = shared.value
+    only(_loaded)
     if key not in _loaded:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import normalizers, pre_tokenizers
 
-        whole, bare = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        whole, bare = load_tokenizer(model), load_tokenizer(model)
         whole.encode_special_tokens = bare.encode_special_tokens = True
         # of words of a to z alone, normalising changes nothing and splitting makes one token list each
         bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()

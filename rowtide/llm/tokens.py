@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 
-from rowtide.llm.arrow import ragged
+from rowtide.llm.arrow import ragged, trim
 from rowtide.llm.kernels import U64, span_hashes
 
 
+def load_tokenizer(model: str):
+    """A tokenizer for one task's core: threads of its own would take other tasks' cores, and memory each."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(model)
+    trim()
+    return tokenizer
+
+
 class PieceCache:
     """Token ids of byte pieces, found by a 64-bit hash of their bytes in an open-addressing table.
 
@@ -20,7 +31,7 @@ class PieceCache:
     with a chance of 2**-64 for each pair of a new piece and one held.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 350_000):
         self.encode, self.limit = encode, limit
         self.mask = U64((1 << (2 * limit).bit_length()) - 1)
         self.ids, self.used, self.held = np.zeros(4096, dtype=np.uint32), 0, 0

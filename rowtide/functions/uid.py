@@ -51,7 +51,11 @@ def encode_uuid(uuid: Column | str) -> Column:
 
 def decode(uid: Column | str) -> Column:
     """The UUID, in text form, of 22 digits; an error for other texts and for numbers over 128 bits."""
-    text = F.col(uid) if isinstance(uid, str) else uid
+    # bound to a variable of a lambda, so that an expression for the text is computed once and not for each digit
+    return F.element_at(F.transform(F.array(uid), _decode), 1)
+
+
+def _decode(text: Column) -> Column:
     valid = text.rlike(f"^[{ALPHABET}]{{{DIGITS}}}$")
     zero = F.array(*[F.lit(0).cast("long")] * 4)
 
@@ -65,8 +69,12 @@ def decode(uid: Column | str) -> Column:
         )
         return F.concat(F.array(F.element_at(limbs, 1) + F.element_at(step, 1)), F.slice(step, 2, 4))
 
-    limbs = F.aggregate(F.sequence(F.lit(1), F.lit(DIGITS)), F.concat(F.array(F.lit(0).cast("long")), zero), add)
-    hex_ = F.lower(F.array_join(F.transform(F.slice(limbs, 2, 4), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
-    dashed = F.concat_ws("-", F.substring(hex_, 1, 8), F.substring(hex_, 9, 4), F.substring(hex_, 13, 4), F.substring(hex_, 17, 4), F.substring(hex_, 21, 12))
     error = F.raise_error(F.concat(F.lit("not a short identifier: "), text))
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(~valid, error).when(F.element_at(limbs, 1) > 0, error).otherwise(dashed)
+
+    def finish(limbs):
+        hex_ = F.lower(F.array_join(F.transform(F.slice(limbs, 2, 4), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+        dashed = F.regexp_replace(hex_, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        return F.when(F.element_at(limbs, 1) > 0, error).otherwise(dashed)
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(DIGITS)), F.concat(F.array(F.lit(0).cast("long")), zero), add, finish)
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(~valid, error).otherwise(whole)

@@ -6,7 +6,9 @@ is ``window`` tokens (all tokens of a shorter item, but at least three); windows
 are not used. Windows of documents meet windows of items by an equality join on their hashes. A document has
 an item if ``coverage`` of the item's windows are in it and its slots are consistent: where the same value
 stands in the item, the document has one and the same value, so a question with other numbers or names is
-caught and a text that only shares the form is not.
+caught and a text that only shares the form is not. Slots are judged over all places of the item in the document
+and, if these contradict each other (several copies, parallel clauses), for each alignment by itself: one that
+has the coverage and is consistent is enough, and the figures are its own.
 
 A null or empty text has no windows; an item without windows is never found. Rows of one doc_id count
 together, rows without one too. Repeated items and rows give one row a pair of ids.
@@ -14,6 +16,8 @@ together, rows without one too. Repeated items and rows give one row a pair of i
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,40 +50,89 @@ def _hashes(size: int) -> str:
     return f"if(size(tokens) >= {size}, transform(sequence(1, greatest(1, size(tokens) - {size - 1})), i -> xxhash64(slice(tokens, i, {size}))), array())"
 
 
+def _windows(items: DataFrame) -> DataFrame:
+    """item_id, j, width and w, the tokens, of each window of items (item_id, width, tokens)."""
+    starts = items.select("item_id", "width", "tokens", F.expr("explode(sequence(1, size(tokens) - width + 1)) as j"))
+    return starts.select("item_id", "j", "width", F.expr("slice(tokens, j, width)").alias("w"))
+
+
+def _meet(hashed: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, copy, item_id, shift, js and width where windows of documents (doc_id, copy, tokens) are items' windows."""
+    own = None
+    for width in widths:
+        one = hashed.select("doc_id", "copy", F.posexplode(F.expr(_hashes(width))).alias("i", "hash")).withColumn("width", F.lit(width))
+        own = one if own is None else own.union(one)
+    side = F.broadcast(windows) if windows.count() <= BROADCAST else windows
+    met = own.join(side, ["hash", "width"]).groupBy("doc_id", "copy", "item_id", (F.col("i") + 1 - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"), F.first("width").alias("width"))
+    return materialize(met, "met", small=True)
+
+
+def _covered(met: DataFrame, windows: DataFrame, coverage: float) -> DataFrame:
+    """doc_id, item_id, m (windows of the item), n_windows and coverage of pairs with enough of the windows."""
+    sizes = windows.groupBy("item_id").agg(F.countDistinct("j").alias("m"))
+    total = met.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_windows"))
+    return total.join(sizes, "item_id").where(F.col("n_windows") >= coverage * F.col("m")).withColumn("coverage", F.col("n_windows") / F.col("m"))
+
+
+def _slots(spots: DataFrame, *keys: str) -> DataFrame:
+    """n_slots, conflicts and n_changed of each group of spots (was, now)."""
+    slots = spots.distinct().groupBy(*keys, "was").agg(F.count("*").alias("n"), F.max(F.expr("not (was <=> now)")).alias("changed"))
+    return slots.groupBy(*keys).agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(n > 1)")).alias("conflicts"), F.sum(F.expr("int(changed)")).alias("n_changed"))
+
+
+def _same(a: DataFrame, b: DataFrame, *keys: str):
+    return functools.reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def _aligned(at: DataFrame, failed: DataFrame, coverage: float) -> DataFrame:
+    """The best consistent alignment of each failed pair (doc_id, item_id, m) that has one.
+
+    at has doc_id, copy, item_id, shift, js, reach and places. A shift alone is an alignment; so is a shift with
+    what it lacks taken from the nearest other shifts, as far as the item is long (words put in or left out).
+    """
+    f = failed.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), "m")
+    at = at.join(f, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t"))).drop("d", "t")
+    at = materialize(at, "alignments", small=True)
+    key = ["doc_id", "copy", "item_id", "anchor", "alone"]
+    a = at.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("item_id").alias("t"), F.col("shift").alias("anchor"))
+    near = at.join(a, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("item_id") == F.col("t")) & (F.abs(F.col("shift") - F.col("anchor")) <= F.col("reach"))).drop("d", "c", "t")
+    rows = near.withColumn("alone", F.explode(F.when(F.col("shift") == F.col("anchor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    sizes = rows.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_windows"), F.first("m").alias("m"))
+    sizes = sizes.where(F.col("n_windows") >= coverage * F.col("m"))
+    spots = rows.select(*key, "shift", F.explode("places").alias("s")).groupBy(*key, "s.p").agg(F.min_by("s", F.struct(F.abs(F.col("shift") - F.col("anchor")), "shift")).alias("s"))
+    slots = _slots(spots.select(*key, "s.was", "s.now"), *key)
+    good = sizes.join(slots, _same(sizes, slots, *key), "left").where("coalesce(conflicts, 0) * 10 <= coalesce(n_slots, 0)")
+    best = good.groupBy(sizes["doc_id"], sizes["item_id"]).agg(F.max(F.struct("n_windows", (-F.coalesce("n_changed", F.lit(0))).alias("kept"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "m")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_windows", (F.col("b.n_windows") / F.col("b.m")).alias("coverage"), F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.kept")).cast("long").alias("n_changed"))
+
+
 def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots and n_changed of each item that is in a document."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("copy"))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), tokens(F.col(text)).alias("tokens")).where("size(tokens) >= 3")
     items = items.withColumn("width", F.least(F.lit(window), F.size("tokens")))
-    starts = items.select("item_id", "width", "tokens", F.expr("explode(sequence(1, size(tokens) - width + 1)) as j"))
-    part = starts.select("item_id", "j", F.expr("slice(tokens, j, width)").alias("w"), "width")
-    part = part.where(F.expr(f"2 * size(filter(w, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))) <= width"))
+    part = _windows(items).where(F.expr(f"2 * size(filter(w, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))) <= width"))
     windows = materialize(part.select("item_id", "j", "width", F.xxhash64("w").alias("hash")).distinct(), "windows", small=True)
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most ``window`` values
     if not widths:
         return docs.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("j").alias("m"))
-    hashed = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    own = None
-    for width in widths:
-        one = hashed.select("doc_id", F.posexplode(F.expr(_hashes(width))).alias("i", "hash")).withColumn("width", F.lit(width))
-        own = one if own is None else own.union(one)
-    side = F.broadcast(windows) if windows.count() <= BROADCAST else windows
-    met = own.join(side, ["hash", "width"]).groupBy("doc_id", "item_id", (F.col("i") + 1 - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"), F.first("width").alias("width"))
-    met = materialize(met, "met", small=True)
-    total = met.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_windows"))
-    total = total.join(sizes, "item_id").where(F.col("n_windows") >= coverage * F.col("m")).withColumn("coverage", F.col("n_windows") / F.col("m")).drop("m")
+    met = _meet(docs.select("doc_id", "copy", tokens(F.col("text")).alias("tokens")), windows, widths)
+    total = _covered(met, windows, coverage)
     # slots: only items that have placeholders need the documents' values
     slotted = items.where(F.expr(f"exists(tokens, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))")).select("item_id", "tokens", raw_tokens(F.col("text")).alias("item_raw"))
     wanted = materialize(met.join(total.select("doc_id", "item_id"), (met["doc_id"].eqNullSafe(total["doc_id"])) & (met["item_id"] == total["item_id"]), "left_semi").join(slotted, "item_id"), "slots", small=True)
     nothing = F.lit(0).cast("long")
     if wanted.isEmpty():
         return total.select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))
-    values = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "item_id", "shift", "js", "width", "tokens", "item_raw", tokens(F.col("text")).alias("own"), raw_tokens(F.col("text")).alias("raw"))
+    texts = docs.withColumnRenamed("doc_id", "own_id").withColumnRenamed("copy", "own_copy")
+    values = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("copy") == F.col("own_copy"))).select("doc_id", "copy", "item_id", "shift", "js", "width", "tokens", "item_raw", tokens(F.col("text")).alias("own"), raw_tokens(F.col("text")).alias("raw"))
     places = values.withColumn("p", F.expr(f"filter(array_distinct(flatten(transform(js, j -> sequence(j, j + width - 1)))), p -> get(tokens, p - 1) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(own, p - 1 + shift) <=> get(tokens, p - 1))"))
-    pairs = places.select("doc_id", "item_id", F.expr("explode(transform(p, p -> struct(get(item_raw, p - 1) as was, get(raw, p - 1 + shift) as now)))").alias("s"))
-    slots = pairs.distinct().groupBy("doc_id", "item_id", "s.was").agg(F.count("*").alias("n"), F.max(F.expr("not (s.was <=> s.now)")).alias("changed"))
-    slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(n > 1)")).alias("conflicts"), F.sum(F.expr("int(changed)")).alias("n_changed"))
-    s = slots.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), "n_slots", "conflicts", "n_changed")
-    judged = total.join(s, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")), "left").where("coalesce(conflicts, 0) * 10 <= coalesce(n_slots, 0)")
-    return judged.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
+    at = materialize(places.select("doc_id", "copy", "item_id", "shift", "js", F.size("tokens").alias("reach"), F.expr("transform(p, p -> struct(p, get(item_raw, p - 1) as was, get(raw, p - 1 + shift) as now))").alias("places")).dropDuplicates(["doc_id", "copy", "item_id", "shift"]), "places", small=True)
+    # first all shifts together, then, where these contradict each other, each alignment by itself
+    s = _slots(at.select("doc_id", "item_id", F.explode("places").alias("s")).select("doc_id", "item_id", "s.was", "s.now"), "doc_id", "item_id")
+    s = s.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), "n_slots", "conflicts", "n_changed")
+    judged = materialize(total.join(s, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")), "left"), "judged", small=True)
+    agree = "coalesce(conflicts, 0) * 10 <= coalesce(n_slots, 0)"
+    found = judged.where(agree).select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
+    failed = judged.where(f"not ({agree})")
+    return found if failed.isEmpty() else found.union(_aligned(at, failed, coverage))

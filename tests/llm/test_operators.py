@@ -254,6 +254,20 @@ def test_contamination(spark):
     assert decontaminate.find_contaminated(d, b.limit(0)).collect() == [] and decontaminate.find_contaminated(d.limit(0), b).collect() == []
 
 
+def test_contamination_by_alignment(spark):
+    template = "The {0} boxes on the long wooden table of the old harbour hold {1} balls and {2} small coins, while {0} boxes under it hold {3} pens for the {1} guests."
+    item = template.format(12, 7, 45, 9)
+    clauses = " ".join(f"The red box on the long table holds {n} balls." for n in (12, 7, 45))
+    one, other = template.format(13, 8, 46, 10), template.format(31, 5, 64, 77)
+    moved = item.replace("wooden table", "wooden and heavy table")
+    docs = [(1, f"{item} {one}"), (2, f"{one} And then again: {other}"), (3, f"{moved} Next. {one}"), (4, clauses), (5, f"Before. {clauses} After."), (6, template.format(1, 2, 3, 4).replace("1 boxes under", "5 boxes under").replace("2 guests", "6 guests")), (7, item), (7, other), (8, "nothing of the kind is in here at all")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, clauses)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_contaminated(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (7, 1), (4, 2), (5, 2)}
+    assert got[1, 1]["n_changed"] == 0 and got[1, 1]["coverage"] == 1 and got[2, 1]["n_changed"] == 4 and got[4, 2]["n_changed"] == 0
+
+
 def test_tokens_keep_their_places(spark, docs):
     odd = spark.createDataFrame([("it cost 5kg, said McDonald to Ann\ue000 on 1.5.2020 at 3 p.m.",), ("Été à Paris, vers Lyon",)], "text string")
     df = docs.select("text").union(odd)

@@ -3,14 +3,16 @@
 Canonical text: capitalised words inside a sentence become a name placeholder, numbers a number placeholder,
 units after numbers a unit placeholder; the rest is lower-cased and cut into letter runs. A template window
 is ``window`` tokens (all tokens of a shorter item, but at least three); windows that are mostly placeholders
-are not used. Windows of documents meet windows of items by an equality join on their hashes. A document has
+are not used. An item without such windows (arithmetic, tables, one or two words) is found by windows of its
+values instead: numbers and words as they stand, but for case, so a copy of one word is found wherever the word
+is. Windows of documents meet windows of items by an equality join on their hashes. A document has
 an item if ``coverage`` of the item's windows are in it and its slots are consistent: where the same value
 stands in the item, the document has one and the same value, so a question with other numbers or names is
 caught and a text that only shares the form is not. Slots are judged over all places of the item in the document
 and, if these contradict each other (several copies, parallel clauses), for each alignment by itself: one that
 has the coverage and is consistent is enough, and the figures are its own.
 
-A null or empty text has no windows; an item without windows is never found. Rows of one doc_id count
+A null or empty text has no windows; an item without letters and digits is never found. Rows of one doc_id count
 together, rows without one too. Repeated items and rows give one row a pair of ids.
 """
 
@@ -46,6 +48,14 @@ def raw_tokens(text) -> F.Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   "), F.lit(rf"({_NUMBERS}|[\p{{L}}\p{{M}}]+)"), 1)
 
 
+def _values(text) -> F.Column:
+    """The raw tokens, lower-cased."""
+    return F.transform(raw_tokens(text), F.lower)
+
+
+_MOSTLY_WORDS = f"2 * size(filter({{}}, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))) <= width"
+
+
 def _hashes(size: int) -> str:
     return f"if(size(tokens) >= {size}, transform(sequence(1, greatest(1, size(tokens) - {size - 1})), i -> xxhash64(slice(tokens, i, {size}))), array())"
 
@@ -109,11 +119,34 @@ def _aligned(at: DataFrame, failed: DataFrame, coverage: float) -> DataFrame:
 def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots and n_changed of each item that is in a document."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("copy"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), tokens(F.col(text)).alias("tokens")).where("size(tokens) >= 3")
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), tokens(F.col(text)).alias("tokens"), _values(F.col(text)).alias("values"))
     items = items.withColumn("width", F.least(F.lit(window), F.size("tokens")))
-    part = _windows(items).where(F.expr(f"2 * size(filter(w, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}'))) <= width"))
+    formal = F.expr(f"size(tokens) >= 3 and exists(sequence(1, size(tokens) - width + 1), j -> {_MOSTLY_WORDS.format('slice(tokens, j, width)')})")
+    templates, verbatim = items.where(formal), items.where(~formal & (F.size("values") > 0))
+    found = _by_template(docs, templates, coverage)
+    if verbatim.isEmpty():
+        return found
+    exact = _by_value(docs, verbatim.select("item_id", F.least(F.lit(window), F.size("values")).alias("width"), F.col("values").alias("tokens")), coverage)
+    return found.union(exact).dropDuplicates(["doc_id", "item_id"])
+
+
+def _windowed(part: DataFrame) -> tuple[DataFrame, list[int]]:
+    """item_id, j, width and hash of windows, and their widths: at most ``window`` values."""
     windows = materialize(part.select("item_id", "j", "width", F.xxhash64("w").alias("hash")).distinct(), "windows", small=True)
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most ``window`` values
+    return windows, sorted(r[0] for r in windows.select("width").distinct().collect())
+
+
+def _by_value(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """Items (item_id, width, tokens) found by windows of their values as they stand: no slot is open."""
+    windows, widths = _windowed(_windows(items))
+    met = _meet(docs.select("doc_id", "copy", _values(F.col("text")).alias("tokens")), windows, widths)
+    nothing = F.lit(0).cast("long")
+    return _covered(met, windows, coverage).select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))
+
+
+def _by_template(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """Items (item_id, text, width, tokens) found by template windows."""
+    windows, widths = _windowed(_windows(items).where(F.expr(_MOSTLY_WORDS.format("w"))))
     if not widths:
         return docs.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
     met = _meet(docs.select("doc_id", "copy", tokens(F.col("text")).alias("tokens")), windows, widths)

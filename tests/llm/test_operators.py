@@ -268,6 +268,14 @@ def test_contamination_by_alignment(spark):
     assert got[1, 1]["n_changed"] == 0 and got[1, 1]["coverage"] == 1 and got[2, 1]["n_changed"] == 4 and got[4, 2]["n_changed"] == 0
 
 
+def test_contamination_by_values(spark):
+    sums, table, name = "Compute 3 + 4 * 12 - 5 / 7.", "12 13 15 18 22 27 33 40 48 57 67 78", "Zanzibar 1964"
+    docs = [(1, f"Exercise: {sums} Then rest."), (2, sums.replace("12", "13")), (3, f"x {table} y"), (4, "it was zanzibar 1964 again"), (5, "Zanzibar 1965"), (6, None), (7, "12 13 15 18 1 2 3 4 5 6 7 8")]
+    b = spark.createDataFrame([(1, sums), (2, table), (3, name), (4, "+"), (5, None)], "item_id long, text string")
+    got = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(1, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+
+
 def test_tokens_keep_their_places(spark, docs):
     odd = spark.createDataFrame([("it cost 5kg, said McDonald to Ann\ue000 on 1.5.2020 at 3 p.m.",), ("Été à Paris, vers Lyon",)], "text string")
     df = docs.select("text").union(odd)

@@ -98,49 +98,80 @@ def hex64(column) -> F.Column:
 
 # -- near-duplicates by similarity ---------------------------------------------------------------------------
 
-BANDS, ROWS, SUBS, SUB_ROWS, SKETCH = 16, 6, 8, 3, 512
+BANDS, ROWS, SKETCH = 16, 6, 512
+#: The order of shingles is learned from about so many texts; so many of the commonest come last in it.
+SAMPLE, COMMON = 20_000, 200_000
 _SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
-def _signatures(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, fp, sig (hash of the shingle set), bands and subs (hashes of groups of minimum hashes), and s0, s1 ...
-    (a bit of each of them)."""
-    names = ["doc_id", "fp", "sig", "bands", "subs", *_SKETCHES]
+def _common_shingles(df: DataFrame, words: int, text: str) -> np.ndarray:
+    """Shingles that several sampled texts have, the rarest first. What is sampled affects the work, not the result."""
 
-    def grouped(mins, first, groups, rows):
-        part = mins[:, first : first + groups * rows].reshape(len(mins), groups, rows).astype(np.uint64)
-        total = np.zeros((len(mins), groups), dtype=np.uint64)
-        for r in range(rows):
+    def run(batches):
+        only()
+        for batch in (part for whole in batches for part in slices(whole, text, 1 << 20)):
+            sets = kernels.shingle_sets(texts_of(batch, text), words)
+            if len(flat := np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])):
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["shingle"])
+
+    share = max(1, df.count() // SAMPLE)
+    drawn = df.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text)
+    counted = drawn.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON)
+    return np.array([r[0] for r in counted.select("shingle").collect()], dtype=np.int64).view(np.uint64)[::-1]
+
+
+def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's first shingles in the order that a set this similar has one of its own first ones among
+    them. ``common`` is sorted; ``rank`` has the place of each in the order, after all others."""
+    place = np.zeros(len(own), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        place = np.where(common[at] == own, rank[at], 0)
+    return own[np.lexsort((own, place))[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1]]
+
+
+def _signatures(df: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """doc_id, fp, sig (hash of the shingle set), n (its size), bands (hashes of groups of minimum hashes), prefix and
+    s0, s1 ... (whether an even or odd number of shingles falls on each bit)."""
+    names = ["doc_id", "fp", "sig", "n", "bands", "prefix", *_SKETCHES]
+    shared = df.sparkSession.sparkContext.broadcast(_common_shingles(df, words, text))
+
+    def bands_of(mins):
+        part = mins.reshape(len(mins), BANDS, ROWS).astype(np.uint64)
+        total = np.zeros((len(mins), BANDS), dtype=np.uint64)
+        for r in range(ROWS):
             total = kernels.mix64(total ^ part[:, :, r] + np.uint64(r + 1 << 32))
-        return total ^ np.arange(groups, dtype=np.uint64)[None, :] * np.uint64(kernels.BASE)
+        return total ^ np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(kernels.BASE)
 
-    def arrays(values):
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], type=pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
+    def arrays(rows):
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).view(np.int64)))
 
     def run(batches):
         only()
+        order = np.argsort(shared.value)
+        common, rank = shared.value[order], order + 1
         for batch in (part for whole in batches for part in slices(whole, text, 1 << 20)):
             texts = texts_of(batch, text)
             fp = kernels.simhash(texts, words)[:, 0].view(np.int64)
             sets = kernels.shingle_sets(texts, words)
             sig = np.array([kernels.mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-            mins = kernels.minhashes(sets, SKETCH)
-            bits = np.packbits((mins * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp), pa.array(sig), arrays(grouped(mins, 0, BANDS, ROWS)), arrays(grouped(mins, BANDS * ROWS, SUBS, SUB_ROWS)), *[pa.array(bits[:, i].copy()) for i in range(len(_SKETCHES))]], names=names)
+            odd = np.array([np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1 for s in sets], dtype=np.uint8).reshape(-1, SKETCH)
+            bits = np.packbits(odd, axis=1).view(np.int64)
+            n = pa.array([len(s) for s in sets], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp), pa.array(sig), n, arrays(list(bands_of(kernels.minhashes(sets, BANDS * ROWS)))), arrays([_prefix(s, common, rank, similarity) for s in sets]), *[pa.array(bits[:, i].copy()) for i in range(len(_SKETCHES))]], names=names)
 
-    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, bands array<long>, subs array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES))
+    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, n long, bands array<long>, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES))
 
 
 def _differ(similarity: float) -> str:
-    """SQL that keeps pairs whose sketches (a bit of each minimum hash) differ as those of similar sets do: sets of a
-    similarity s differ in (1 - s) / 2 of the bits; three standard deviations more are let through."""
-    p = (1 - similarity) / 2
-    most = int(SKETCH * p + 3 * (SKETCH * p * (1 - p)) ** 0.5)
-    return f"{' + '.join(f'bit_count(a{s} ^ b{s})' for s in _SKETCHES)} <= {most}"
+    """SQL that drops only pairs that cannot be similar: shingles of both sets cancel out in the sketches, so these
+    differ in no more bits than the sets do in shingles, at most (1 - s) / (1 + s) of their sizes together."""
+    return f"{' + '.join(f'bit_count(a{s} ^ b{s})' for s in _SKETCHES)} <= (an + bn) * {(1 - similarity) / (1 + similarity)!r}D + 1e-6D"
 
 
-def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
-    return rows.select(*more, F.col("node").alias(side), *[F.col(s).alias(f"{side}{s}") for s in _SKETCHES])
+def _side(rows: DataFrame, side: str, *more) -> DataFrame:
+    return rows.select(*more, F.col("node").alias(side), F.col("n").alias(f"{side}n"), *[F.col(s).alias(f"{side}{s}") for s in _SKETCHES])
 
 
 def _leader_pairs(hits: DataFrame, seeds: int = 2) -> DataFrame:
@@ -153,29 +184,33 @@ def _leader_pairs(hits: DataFrame, seeds: int = 2) -> DataFrame:
     return pairs.distinct()
 
 
-def _other_pairs(hits: DataFrame, nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a band and have similar sketches. Crowded bands are dealt out
-    again by the sub-bands."""
-    plain = hits.where(F.col("count") <= hot).join(nodes, "node").select("key", "node", "grp", *_SKETCHES)
-    crowded = hits.where(F.col("count") > hot).join(nodes, "node").select("node", "grp", *_SKETCHES, "key", F.explode("subs").alias("sub"))
-    rows = plain.union(crowded.select(F.xxhash64("key", "sub").alias("key"), "node", "grp", *_SKETCHES))
-    a, b = _side(rows, "a", "key", F.col("grp").alias("x")), _side(rows, "b", "key", F.col("grp").alias("y"))
-    return a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b and x != y and {_differ(similarity)}")).select("a", "b").distinct()
+def _other_pairs(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """All pairs of nodes of different groups that can be similar: they share a shingle of their prefixes, and have
+    enough shingles from there on. Rows of a shingle with over ``hot`` nodes are dealt out, each pair to one place."""
+    keyed = nodes.select("node", "grp", F.posexplode("prefix").alias("pos", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("grp").alias("g"), F.max("grp").alias("h")).where("g != h")
+    shared = shared.select("key", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
+    rows = materialize(keyed.join(shared, "key").join(nodes.select("node", "n", *_SKETCHES), "node"), "prefixes")
+    a = _side(rows, "a", "key", F.col("grp").alias("x"), F.col("pos").alias("i"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    b = _side(rows, "b", "key", F.col("grp").alias("y"), F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    enough = f"least(an - i, bn - j) >= (an + bn) * {similarity / (1 + similarity)!r}D - 1e-6D"
+    meet = (a["key"] == b["key"]) & (a["chunk"] == b["chunk"]) & F.expr(f"a < b and x != y and {enough} and {_differ(similarity)}")
+    return a.join(b, meet).select("a", "b").distinct()
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and component_id of every row: groups linked by shingle sets of at least this Jaccard similarity.
 
-    Texts with equal shingle sets are one node. Candidates are nodes whose fingerprints differ in at most
-    ``distance`` bits, and those that share a band of minimum hashes: at a similarity of 0.8, fingerprints differ
-    in ten bits of 64, too many for any index of segments. Every candidate is verified on its shingle sets.
+    Texts with equal shingle sets are one node. Every candidate is verified on its shingle sets.
 
-    Bands are compared in two rounds. First each node meets random leaders of its bands; that joins most of a
-    large group of copies by a few pairs a node. Then only nodes of different groups meet, so no link between
+    There are two rounds. The first only saves work: nodes whose fingerprints differ in at most ``distance`` bits
+    meet, and each node meets random leaders of its bands of minimum hashes; that joins most of a large group of
+    copies by a few pairs a node. The second is complete: of nodes of different groups all meet that share a
+    shingle of their prefixes (the rarest fifth or so), as any two sets of this similarity do. So no link between
     groups is lost and the pairs inside a group are never listed.
     """
-    prints = materialize(_signatures(df, words, doc_id, text), "signatures")
-    best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("subs").alias("subs"), *[F.first(c).alias(c) for c in _SKETCHES])
+    prints = materialize(_signatures(df, words, similarity, doc_id, text), "signatures")
+    best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _SKETCHES])
     nodes = materialize(best.where("node is not null"), "nodes")
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     close = links(by_fp.select("fp"), distance)
@@ -196,18 +231,18 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
             flat = np.concatenate(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays([column_of(batch, "node"), pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(flat))], names=["node", "shingles"])
 
-    own = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
-    sets = materialize(own.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def verified(pairs, name):
+    def verified(pairs, wanted, name):
+        own = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
+        sets = materialize(own.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), name, small=True)
 
     led = _leader_pairs(hits).join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_differ(similarity)).select("a", "b")
-    first = components(verified(led.union(printed).distinct(), "first"))
-    grouped = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "subs", *_SKETCHES)
-    more = verified(_other_pairs(hits, grouped, similarity, hot), "more")
+    first = components(verified(led.union(printed).distinct(), wanted, "first"))
+    grouped = materialize(nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "n", "prefix", *_SKETCHES), "grouped")
+    others = materialize(_other_pairs(grouped, similarity, hot), "others", small=True)
+    more = verified(others, others.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "more")
     reached = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = prints.select("doc_id", "sig").join(nodes.select("sig", "node"), "sig").join(reached, "node", "left")
     return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

@@ -169,6 +169,16 @@ def test_similar_groups(docs, corpus, spark, hot):
     assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id"]
 
 
+def test_similar_groups_miss_no_pair(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):  # 90 shingles each, 80 of 100 shared
+        own = [f"v{rng.randrange(10**9)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(own[:94])), (2 * i + 1, " ".join(own[10:]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(600) if got[2 * i] != 2 * i or got[2 * i + 1] != 2 * i] == []
+
+
 # -- 3 -------------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """Operator 10: document fingerprints by I-Match with several randomised lexicons.
 
-Terms are words with A-Z lower-cased. The lexicon holds the terms whose share of documents lies in a band, so
+Terms are words with A-Z lower-cased. The lexicon holds the terms whose share of different texts lies in a band, so
 that it leaves out both the terms that are everywhere and those of a few documents. As each lexicon term is in
 ``low`` of the documents at least, there are at most (mean distinct terms of a document) / low of them, however
 many documents there are; that bound is checked, and beyond ``most`` terms ``low`` is doubled.
@@ -8,8 +8,8 @@ many documents there are; that bound is checked, and beyond ``most`` terms ``low
 A fingerprint hashes the sorted distinct lexicon terms of a text, then those of them in each of several random
 sub-lexicons that keep one term in 1, 2, 4, ... 1024. Two texts agree on a sub-lexicon of share p if none of the
 D terms they differ in is in it, so with probability (1 - p)**D: the most likely D, against the texts' numbers
-of terms, is their likeness 1 - D / (m + n). It is 1 if and only if the fingerprints are equal, and two texts
-without lexicon terms are alike.
+of terms, is their likeness 1 - D / (m + n). It is 1 if and only if the fingerprints are equal. All terms of a
+text without lexicon terms count, and two texts without terms are alike.
 
 A null text is an empty one. Documents with equal doc_id follow each other by text; a null doc_id comes first.
 """
@@ -82,8 +82,17 @@ def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each different text (by hash); only rows of repeated texts are shuffled whole."""
+    rows = df.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"))
+    repeated = materialize(rows.groupBy("__hash").count().where("count > 1").select("__hash"), "repeated", small=True)
+    again = rows.join(repeated, "__hash", "left_semi").dropDuplicates(["__hash"])
+    return rows.join(repeated, "__hash", "left_anti").select(text).union(again.select(text))
+
+
 def lexicon(df: DataFrame, low: float = 0.0005, high: float = 0.1, most: int = 2_000_000, text: str = "text") -> np.ndarray:
     """The sorted term hashes of the band [low, high] of document shares; at most ``most``, so 16 MB."""
+    df = distinct_texts(df, text)
     total = df.count()
     counted = materialize(document_frequencies(df, text).where(F.col("df") >= max(2, int(low * total))), "frequencies")
     while True:
@@ -95,14 +104,13 @@ def lexicon(df: DataFrame, low: float = 0.0005, high: float = 0.1, most: int = 2
 
 
 def sub_hashes(terms: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 16-bit hash for each text and sub-lexicon (0: no term), and the number of lexicon terms of each text."""
+    """A 16-bit hash for each text and sub-lexicon (0: no term), and the number of terms of each text that count."""
     out = np.zeros((len(terms), len(SHARES)), dtype=np.uint16)
     count = np.zeros(len(terms), dtype=np.int64)
     for i, own in enumerate(terms):
         if len(words) and len(own):
-            own = own[words[np.minimum(np.searchsorted(words, own), len(words) - 1)] == own]
-        else:
-            own = own[:0]
+            held = own[words[np.minimum(np.searchsorted(words, own), len(words) - 1)] == own]
+            own = held if len(held) else own
         count[i] = len(own)
         if len(own):
             drawn = mix64(own[None, :] ^ _SEEDS[:, None])

@@ -493,6 +493,17 @@ def test_imatch(spark, docs, corpus, none):
     assert imatch.fingerprint_edits(none, imatch.lexicon(none)).collect() == []
 
 
+def test_imatch_with_many_copies(spark):
+    rng = random.Random(4)
+    texts = [words(rng, 20, 300) for _ in range(60)]
+    rows = [*enumerate(texts), *[(100 + i, texts[0]) for i in range(40)], (200, ""), (201, "never seen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = imatch.lexicon(df, low=0.001, high=0.2)
+    assert np.isin(imatch.terms_of([data(texts[0])])[0], lexicon).any()
+    near = {r["doc_id"]: r["near_next"] for r in imatch.fingerprint_edits(df, lexicon).collect()}
+    assert near[100] == 1.0 and near[139] < 1.0 and near[200] < 1.0
+
+
 @pytest.mark.parametrize("partitions", ["1", "3", "50"])
 def test_next_document(spark, partitions):
     rows = [(None, "n" * 8), (5, "five" * 3), (5, "five" * 3), (7, None), (2, "two two "), (9, "")]

@@ -96,6 +96,9 @@ def _cache(shared) -> PieceCache:
             return in_groups(pieces, [(own[0], joined), (own[1], lambda words: joined(words, whole)), (own[2], each)])
 
         _loaded[key] = PieceCache(encode)
+        library = load_tokenizer(model)
+        _loaded[key].library = library
+        _loaded[key].added = [t.content.lower().encode() for t in library.get_added_tokens_decoder().values()]
     return _loaded[key]
 
 
@@ -130,9 +133,17 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, d
                 files = [store.open_output_stream(t) for t in temporary]
                 files[1].write(np.zeros(1, dtype="<i8").tobytes())
             for part_of in slices(batch, "text", CHUNK_BYTES):
-                data, start, end, first = word_pieces(texts_of(part_of, "text"))
+                texts = texts_of(part_of, "text")
+                # an added token in a text, in whatever case, is the library's to find: such texts go to it whole
+                odd = {i: cache.library.encode(t.decode(), add_special_tokens=False).ids for i, t in enumerate(texts) if any(a in t.lower() for a in cache.added)}
+                data, start, end, first = word_pieces([b"" if i in odd else t for i, t in enumerate(texts)])
                 ids, lengths = cache.encode_spans(data, start, end)
                 counts = per_text(lengths, first)
+                if odd:
+                    own = np.split(ids, np.cumsum(counts)[:-1])
+                    for i, found in odd.items():
+                        own[i] = np.array(found, dtype=np.uint32)
+                    ids, counts = np.concatenate(own), np.array([len(o) for o in own], dtype=np.int64)
                 ends = np.cumsum(counts)
                 files[0].write(np.insert(ids, ends, end_id).astype(f"<u{width}").tobytes())
                 files[1].write((tokens + ends + np.arange(1, len(ends) + 1)).astype("<i8").tobytes())

@@ -451,6 +451,18 @@ def test_token_files_with_odd_ids(spark, tmp_path):
     assert got == [(0, None, 2), (2, None, 2), (4, 2, 1), (5, 2, 2), (7, 2, 2)]
 
 
+def test_token_files_with_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/added"
+    rows = [(1, "before"), (2, "hello <|endoftext|> world"), (3, "A<|startoftext|>b, <|ENDOFTEXT|> c"), (4, "after it"), (5, "<|endoftext|>")]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, path, end_id=1)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in token_files.read_tokens(spark, folder).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
+    assert got[2] == [3306, 49407, 1002, 1]
+
+
 def test_pieces_forget():
     calls = []
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -59,20 +60,37 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value):
+    """The session with one setting changed for the time being."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield spark
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet. Spark deletes the shuffle files of the job as soon as it ends: nothing reads them again."""
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    release(df.sparkSession)
+
+
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
 
     ``small`` writes an eighth of the usual number of files, for tables that are a small part of the input.
 
     The table survives lost executors, its rows are computed once however many plans read them, and the
-    shuffle files that made it can go.
+    shuffle files that made it go.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if small:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
-    release(spark)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

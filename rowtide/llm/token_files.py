@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rowtide.llm.arrow import CACHES, binary_array, column_of, cut, only, slices, texts_of
 from rowtide.llm.kernels import word_spans
-from rowtide.llm.storage import release
+from rowtide.llm.storage import write
 from rowtide.llm.tokens import PieceCache, in_groups, load_tokenizer, one_by_one, per_text
 
 NULL_ID = -(2**63)
@@ -156,8 +156,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, d
                 store.move(source, f"{root}/{part:05d}.{name}")
             yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [docs], "n_tokens": [tokens], "width": [width]}, schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    dealt.mapInArrow(run, "part int, n_docs long, n_tokens long, width int").write.parquet(f"{folder}/manifest")
-    release(spark)
+    write(dealt.mapInArrow(run, "part int, n_docs long, n_tokens long, width int"), f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 

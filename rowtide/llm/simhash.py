@@ -11,8 +11,10 @@ Buckets over ``hot`` fingerprints are not paired: their rows get further keys fr
 bits outside the segment, which again must agree up to one bit in one of two halves. So a crowded bucket
 falls apart into buckets of pairs that are alike in most bits, and no link is lost.
 
-A null, empty or wordless text has fingerprint zero and is linked like any other. Rows with a null doc_id
-get a fingerprint but no component. Repeated doc_ids share a component. Further columns are ignored.
+A null, empty or wordless text has fingerprint zero and is linked like any other; texts of any length are read
+whole. Rows with a null doc_id get a fingerprint but no component. Repeated rows give repeated rows; repeated
+doc_ids share a component only if their texts are linked. Further columns, whatever their names, are ignored, and
+an empty table gives an empty one. No ties arise: a component is named by its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from rowtide.llm import kernels
 from rowtide.llm.arrow import column_of, only, slices, texts_of
 from rowtide.llm.components import components
-from rowtide.llm.storage import materialize
+from rowtide.llm.storage import free_name, materialize
 
 
 def fingerprints(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,10 +133,11 @@ def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: f
 
 
 def _signatures(df: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """doc_id, fp, sig (hash of the shingle set), n (its size), bands (hashes of groups of minimum hashes), prefix and
-    s0, s1 ... (whether an even or odd number of shingles falls on each bit)."""
-    names = ["doc_id", "fp", "sig", "n", "bands", "prefix", *_SKETCHES]
-    shared = df.sparkSession.sparkContext.broadcast(_common_shingles(df, words, text))
+    """doc_id, mark (hash of the text), fp, sig (hash of the shingle set), n (its size), bands (hashes of groups of
+    minimum hashes), prefix and s0, s1 ... (whether an even or odd number of shingles falls on each bit)."""
+    names = ["doc_id", "mark", "fp", "sig", "n", "bands", "prefix", *_SKETCHES]
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(_common_shingles(rows, words, "text"))
 
     def bands_of(mins):
         part = mins.reshape(len(mins), BANDS, ROWS).astype(np.uint64)
@@ -143,25 +146,30 @@ def _signatures(df: DataFrame, words: int, similarity: float, doc_id: str, text:
             total = kernels.mix64(total ^ part[:, :, r] + np.uint64(r + 1 << 32))
         return total ^ np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(kernels.BASE)
 
-    def arrays(rows):
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).view(np.int64)))
-
     def run(batches):
         only()
         order = np.argsort(shared.value)
         common, rank = shared.value[order], order + 1
-        for batch in (part for whole in batches for part in slices(whole, text, 1 << 20)):
-            texts = texts_of(batch, text)
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
+            texts = texts_of(batch, "text")
             fp = kernels.simhash(texts, words)[:, 0].view(np.int64)
             sets = kernels.shingle_sets(texts, words)
-            sig = np.array([kernels.mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
             odd = np.array([np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1 for s in sets], dtype=np.uint8).reshape(-1, SKETCH)
             bits = np.packbits(odd, axis=1).view(np.int64)
             n = pa.array([len(s) for s in sets], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([column_of(batch, doc_id), pa.array(fp), pa.array(sig), n, arrays(list(bands_of(kernels.minhashes(sets, BANDS * ROWS)))), arrays([_prefix(s, common, rank, similarity) for s in sets]), *[pa.array(bits[:, i].copy()) for i in range(len(_SKETCHES))]], names=names)
+            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), column_of(batch, "mark"), pa.array(fp), pa.array(_signed(sets)), n, _arrays(list(bands_of(kernels.minhashes(sets, BANDS * ROWS)))), _arrays([_prefix(s, common, rank, similarity) for s in sets]), *[pa.array(bits[:, i].copy()) for i in range(len(_SKETCHES))]], names=names)
+
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, sig long, n long, bands array<long>, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES))
+
+
+def _signed(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each shingle set."""
+    return np.array([kernels.mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+
 
-    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, fp long, sig long, n long, bands array<long>, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES))
+def _arrays(rows: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).view(np.int64)))
 
 
 def _differ(similarity: float) -> str:
@@ -204,15 +212,23 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     Texts with equal shingle sets are one node. Every candidate is verified on its shingle sets.
 
     There are two rounds. The first only saves work: nodes whose fingerprints differ in at most ``distance`` bits
-    meet, and each node meets random leaders of its bands of minimum hashes; that joins most of a large group of
-    copies by a few pairs a node. The second is complete: of nodes of different groups all meet that share a
-    shingle of their prefixes (the rarest fifth or so), as any two sets of this similarity do. So no link between
-    groups is lost and the pairs inside a group are never listed.
+    meet (deletion variants), and each node meets random leaders of its bands of minimum hashes; that joins most of
+    a large group of copies by a few pairs a node. The second is complete: of nodes of different groups all meet
+    that share a shingle of their prefixes (the rarest fifth or so), as any two sets of this similarity do. So no
+    link between groups is lost, whatever ``hot``, and the pairs inside a group are never listed.
+
+    Texts without words form one group; texts of any length are read whole. Rows without doc_id link nothing and
+    have no component. Different texts with one doc_id are judged apart.
     """
+    return _groups(df, words, similarity, distance, hot, doc_id, text).select("doc_id", "component_id")
+
+
+def _groups(df: DataFrame, words: int, similarity: float, distance: int, hot: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, mark (hash of the text), component (a number of the group) and component_id of every row."""
     prints = materialize(_signatures(df, words, similarity, doc_id, text), "signatures")
-    best = prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _SKETCHES])
-    nodes = materialize(best.where("node is not null"), "nodes")
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    best = prints.groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _SKETCHES])
+    nodes = materialize(best.where("rep is not null"), "nodes")
+    by_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
     close = links(by_fp.select("fp"), distance)
     close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = nodes.join(by_fp, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -221,39 +237,49 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, dista
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1")
     hits = materialize(keyed.join(shared, "key"), "hits")
-    wanted = hits.select("node").union(printed.select(F.col("a").alias("node"))).union(printed.select(F.col("b").alias("node"))).distinct()
+    texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
 
     def run(batches):
         only()
         for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             sets = kernels.shingle_sets(texts_of(batch, "text"), words)
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "node"), pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(flat))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(sets)), _arrays(sets)], names=["node", "shingles"])
 
-    def verified(pairs, wanted, name):
-        own = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
-        sets = materialize(own.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    def verified(pairs, name):
+        """The pairs that are similar; only texts of their nodes are read again."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = texts.join(nodes.select("node", "rep").join(wanted, "node").select("rep").distinct(), "rep", "left_semi")
+        sets = materialize(own.select("text").mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), name, small=True)
 
     led = _leader_pairs(hits).join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_differ(similarity)).select("a", "b")
-    first = components(verified(led.union(printed).distinct(), wanted, "first"))
+    led = materialize(led.union(printed).distinct(), "led", small=True)
+    first = components(verified(led, "first"))
     grouped = materialize(nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "n", "prefix", *_SKETCHES), "grouped")
     others = materialize(_other_pairs(grouped, similarity, hot), "others", small=True)
-    more = verified(others, others.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "more")
-    reached = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    named = prints.select("doc_id", "sig").join(nodes.select("sig", "node"), "sig").join(reached, "node", "left")
-    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
-
-
-def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df with the smallest doc_id of their group, once; rows without doc_id stay."""
-    groups = materialize(similar_groups(df, words, similarity, doc_id=doc_id, text=text), "groups")
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = df.join(gone, doc_id, "left_anti").select(*df.columns)
-    ids = df.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1")
-    if ids.isEmpty():
-        return kept
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))
+    reached = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(others, "more")))
+    named = nodes.select("node", "rep").join(reached, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    table = named.join(least, "component").select(F.col("node").alias("sig"), "component", "component_id")
+    one = F.col("doc_id").isNotNull()
+    return prints.select("doc_id", "mark", "sig").join(table, "sig", "left").select("doc_id", "mark", F.when(one, F.col("component")).alias("component"), F.when(one, F.col("component_id")).alias("component_id"))
+
+
+def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of ``similar_groups``, with all columns of df: that with the group's smallest doc_id,
+    of different texts with that doc_id the one with the smallest xxhash64. Rows without doc_id stay.
+    """
+    groups = materialize(_groups(df, words, similarity, distance, hot, doc_id, text), "groups").where("doc_id is not null")
+    heads = groups.where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("mark").alias("least"), F.count("*").alias("n"))
+    several = materialize(heads.where("n > 1"), "several", small=True)
+    unwanted = groups.join(several, ["doc_id", "component"]).where("mark != least").select("doc_id", "mark")
+    unwanted = groups.where("doc_id != component_id").select("doc_id", "mark").union(unwanted).distinct()
+    mark = free_name(df, "mark")
+    marked = df.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    unwanted = unwanted.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark))
+    kept = marked.join(unwanted, [doc_id, mark], "left_anti")
+    if not several.isEmpty():
+        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, mark]).union(kept.where(F.col(doc_id).isNull()))
+    return kept.select(*df.columns)

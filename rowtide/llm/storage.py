@@ -60,6 +60,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value):
     """The session with one setting changed for the time being."""

@@ -164,9 +164,46 @@ def test_similar_groups(docs, corpus, spark, hot):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, hot=hot).collect()}
     assert got == want
     extra = spark.createDataFrame([(None, "no id"), (3, dict(corpus)[3]), (3, dict(corpus)[3])], "doc_id long, text string")
-    kept = simhash.deduplicate(docs.select("doc_id", "text").union(extra)).collect()
+    kept = simhash.deduplicate(docs.select("doc_id", "text").union(extra).withColumn("mark", F.lit("m")), hot=hot).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
-    assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id"]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id"] and {r["mark"] for r in kept} == {"m"}
+
+
+def test_similar_groups_of_texts_with_one_id(spark):
+    rng = random.Random(12)
+    a, b, c = (words(rng, 40, 10_000) for _ in range(3))
+    rows = [(5, a), (1, a + " more"), (5, b), (5, b), (5, b + " end"), (7, c), (7, None), (8, ""), (None, c), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.deduplicate(df).collect()), key=str)
+    own = [r for r in kept if r[0] == 5]
+    assert len(own) == 1 and own[0][1] in (b, b + " end")
+    assert [r for r in kept if r[0] != 5] == sorted([(1, a + " more"), (7, c), (7, None), (None, c), (None, None)], key=str)
+    assert simhash.deduplicate(df.limit(0)).collect() == []
+
+
+def test_similar_groups_in_a_crowd(spark):
+    """A thousand edits of one text, many of them just below the similarity, against all pairs."""
+    rng = random.Random(13)
+    base = [f"v{rng.randrange(10**9)}" for _ in range(120)]
+    rows = []
+    for i in range(1000):
+        own = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    sets = np.zeros((len(rows), 0))
+    every = [kernels.shingle_sets([t], 5)[0] for _, t in rows]
+    values = np.unique(np.concatenate(every))
+    sets = np.zeros((len(rows), len(values)), dtype=np.float32)
+    for i, s in enumerate(every):
+        sets[i, np.searchsorted(values, s)] = 1
+    both = sets @ sets.T
+    size = sets.sum(1)
+    similar = both >= 0.8 * (size[:, None] + size[None, :] - both)
+    want = groups(range(len(rows)), lambda i, j: similar[i, j])
+    for hot in (20, 300):
+        got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
 def test_similar_groups_miss_no_pair(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from rowtide.llm.url_templates import RULES
 
 
-def url_templates(fanout: int = 50, depth: int = 4, z: float = 1.64, least: int = 5, purity: float = 0.8, support: int = 5, smooth: float = 4.0) -> str:
+def url_templates(fanout: int = 50, depth: int = 4, z: float = 1.64, least: int = 5, purity: float = 0.8, support: int = 5, smooth: float = 4.0, cover: float = 0.2) -> str:
     rules = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in RULES)
     sql = f"""with rules(verdict, rule, rhost, rpath) as (values {rules}),
     cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
@@ -13,20 +13,20 @@ def url_templates(fanout: int = 50, depth: int = 4, z: float = 1.64, least: int
     split as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from hosts),
     fits as (select page_id, max_by(rule, length(rule)) as rule, max_by(verdict, length(rule)) as ruled from split, rules where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id),
     rows as (select split.*, rule, ruled, regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g') as form from split left join fits using (page_id)),
-    t0 as (select host, form, count(ruled)::double as l, count(*) filter (ruled = 'block')::double as b, string_split(regexp_replace(form, '^/', ''), '/') as parts, '' as template from rows group by host, form)"""
+    t0 as (select host, form, count(*)::double as n, count(ruled)::double as l, count(*) filter (ruled = 'block')::double as b, string_split(regexp_replace(form, '^/', ''), '/') as parts, '' as template from rows group by host, form)"""
     for i in range(depth):
         part = f"parts[{i + 1}]" if i < depth - 1 else f"case when len(parts) >= {depth} then array_to_string(parts[{depth}:], '/') end"
         sql += f""",
     p{i} as (select *, {part} as part from t{i}),
-    c{i} as (select host, template, part, sum(l) as l, sum(b) as b from p{i} where part is not null group by all),
-    a{i} as (select host, template, count(*) as children, sum(l) as al, sum(b) as ab from c{i} group by all),
-    w{i} as (select host, template, part, coalesce(case when children > {fanout} then true when children > 1 and l >= {least} and al - l >= {least} and abs(b / l - (ab - b) / (al - l)) <= {z} * sqrt((ab / al) * (1 - (ab / al)) * (1 / l + 1 / (al - l))) then true else false end, false) as wild from c{i} join a{i} using (host, template)),
-    t{i + 1} as (select host, form, p{i}.l, p{i}.b, parts, case when part is null then template else template || '/' || case when wild then '*' else part end end as template from p{i} left join w{i} using (host, template, part))"""
+    c{i} as (select host, template, part, sum(n) as n, sum(l) as l, sum(b) as b from p{i} where part is not null group by all),
+    a{i} as (select host, template, sum(n) as an, sum(l) as al, sum(b) as ab from c{i} group by all),
+    w{i} as (select host, template, part, coalesce(case when l = 0 then n * {fanout} < an when l >= {least} and al - l >= {least} and abs(b / l - (ab - b) / (al - l)) <= {z} * sqrt((ab / al) * (1 - (ab / al)) * (1 / l + 1 / (al - l))) then true else false end, false) as wild from c{i} join a{i} using (host, template)),
+    t{i + 1} as (select host, form, p{i}.n, p{i}.l, p{i}.b, parts, case when part is null then template else template || '/' || case when wild then '*' else part end end as template from p{i} left join w{i} using (host, template, part))"""
     return f"""{sql},
     g as (select coalesce(sum(b) / nullif(sum(l), 0), 0) as g from t{depth}),
     priors as (select host, (sum(b) + {smooth} * max(g)) / (sum(l) + {smooth}) as prior from t{depth}, g group by host),
-    own as (select host, template, sum(l) as l, sum(b) as b from t{depth} group by all),
-    judged as (select host, template, l, l >= {support} and (b + {smooth} * prior) / (l + {smooth}) >= {purity} as rejected from own join priors using (host))
+    own as (select host, template, sum(n) as n, sum(l) as l, sum(b) as b from t{depth} group by all),
+    judged as (select host, template, l, l >= {support} and (b + {smooth} * prior) / (l + {smooth}) >= {purity} and l >= {cover} * n as rejected from own join priors using (host))
     select page_id, rows.host, path, rule, t.template, cast(judged.l as bigint) as labelled, coalesce(ruled, case when rejected then 'block' else 'allow' end) as verdict
     from rows join t{depth} t on t.host = rows.host and t.form = rows.form join judged on judged.host = rows.host and judged.template = t.template"""
 

@@ -7,13 +7,18 @@ are not used. An item without such windows (arithmetic, tables, one or two words
 values instead: numbers and words as they stand, but for case, so a copy of one word is found wherever the word
 is. Windows of documents meet windows of items by an equality join on their hashes. A document has
 an item if ``coverage`` of the item's windows are in it and its slots are consistent: where the same value
-stands in the item, the document has one and the same value, so a question with other numbers or names is
-caught and a text that only shares the form is not. Slots are judged over all places of the item in the document
-and, if these contradict each other (several copies, parallel clauses), for each alignment by itself: one that
-has the coverage and is consistent is enough, and the figures are its own.
-
-A null or empty text has no windows; an item without letters and digits is never found. Rows of one doc_id count
-together, rows without one too. Repeated items and rows give one row a pair of ids.
+stands in the item, the document has one and the same value (but for a share of ``tolerance`` of the values), and
+different values of the item are different ones in the document (at least a share of ``distinct`` of them). So a
+question with other numbers or names is caught and a text that only shares the form is not. Slots are judged over
+all places of the item in the document and, if these contradict each other (several copies, parallel clauses), for
+each alignment by itself: one that has the coverage and is consistent is enough, and the figures are its own. A
+verbatim copy is consistent with itself, so it is always found.
+
+A null or empty text has no windows; an item without letters and digits is never found. Texts of any length are
+read whole. Rows of one doc_id count together, rows without one too; a null item_id is an id like any other.
+Different texts of one item_id are items of their own. Repeated items and rows give one row a pair of ids, that of
+the largest coverage (ties: most windows, fewest changed values). Further columns, whatever their names, are ignored;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -57,7 +62,8 @@ _MOSTLY_WORDS = f"2 * size(filter({{}}, t -> t in ('{NUMBER}', '{NAME}', '{UNIT}
 
 
 def _hashes(size: int) -> str:
-    return f"if(size(tokens) >= {size}, transform(sequence(1, greatest(1, size(tokens) - {size - 1})), i -> xxhash64(slice(tokens, i, {size}))), array())"
+    """SQL for the (i, width, hash) of each window of tokens of a size."""
+    return f"if(size(tokens) >= {size}, transform(sequence(0, greatest(0, size(tokens) - {size})), i -> struct(i as i, {size} as width, xxhash64(slice(tokens, i + 1, {size})) as hash)), cast(array() as array<struct<i:int,width:int,hash:bigint>>))"
 
 
 def _windows(items: DataFrame) -> DataFrame:
@@ -68,10 +74,10 @@ def _windows(items: DataFrame) -> DataFrame:
 
 def _meet(hashed: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
     """doc_id, copy, item_id, shift, js and width where windows of documents (doc_id, copy, tokens) are items' windows."""
-    own = None
-    for width in widths:
-        one = hashed.select("doc_id", "copy", F.posexplode(F.expr(_hashes(width))).alias("i", "hash")).withColumn("width", F.lit(width))
-        own = one if own is None else own.union(one)
+    if not widths:
+        return windows.where("false").select(F.lit(None).cast(hashed.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("copy"), "item_id", F.lit(0).alias("shift"), F.array("j").alias("js"), "width")
+    every = F.expr(f"concat({', '.join(map(_hashes, widths))})")  # one pass over the tokens for all widths
+    own = hashed.select("doc_id", "copy", F.explode(every).alias("v")).select("doc_id", "copy", "v.i", "v.width", "v.hash")
     side = F.broadcast(windows) if windows.count() <= BROADCAST else windows
     met = own.join(side, ["hash", "width"]).groupBy("doc_id", "copy", "item_id", (F.col("i") + 1 - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"), F.first("width").alias("width"))
     return materialize(met, "met", small=True)
@@ -85,16 +91,21 @@ def _covered(met: DataFrame, windows: DataFrame, coverage: float) -> DataFrame:
 
 
 def _slots(spots: DataFrame, *keys: str) -> DataFrame:
-    """n_slots, conflicts and n_changed of each group of spots (was, now)."""
-    slots = spots.distinct().groupBy(*keys, "was").agg(F.count("*").alias("n"), F.max(F.expr("not (was <=> now)")).alias("changed"))
-    return slots.groupBy(*keys).agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(n > 1)")).alias("conflicts"), F.sum(F.expr("int(changed)")).alias("n_changed"))
+    """n_slots, conflicts (values of the item with several in the document), n_changed and n_now (different values in
+    the document) of each group of spots (was, now)."""
+    slots = spots.distinct().groupBy(*keys, "was").agg(F.count("*").alias("n"), F.max(F.expr("not (was <=> now)")).alias("changed"), F.min("now").alias("now"))
+    return slots.groupBy(*keys).agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(n > 1)")).alias("conflicts"), F.sum(F.expr("int(changed)")).alias("n_changed"), F.size(F.collect_set("now")).alias("n_now"))
+
+
+def _consistent(tolerance: float, distinct: float) -> str:
+    return f"(coalesce(conflicts, 0) <= {tolerance!r}D * coalesce(n_slots, 0) and coalesce(n_now, 0) >= {distinct!r}D * coalesce(n_slots, 0))"
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str):
     return functools.reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def _aligned(at: DataFrame, failed: DataFrame, coverage: float) -> DataFrame:
+def _aligned(at: DataFrame, failed: DataFrame, coverage: float, agree: str) -> DataFrame:
     """The best consistent alignment of each failed pair (doc_id, item_id, m) that has one.
 
     at has doc_id, copy, item_id, shift, js, reach and places. A shift alone is an alignment; so is a shift with
@@ -111,23 +122,27 @@ def _aligned(at: DataFrame, failed: DataFrame, coverage: float) -> DataFrame:
     sizes = sizes.where(F.col("n_windows") >= coverage * F.col("m"))
     spots = rows.select(*key, "shift", F.explode("places").alias("s")).groupBy(*key, "s.p").agg(F.min_by("s", F.struct(F.abs(F.col("shift") - F.col("anchor")), "shift")).alias("s"))
     slots = _slots(spots.select(*key, "s.was", "s.now"), *key)
-    good = sizes.join(slots, _same(sizes, slots, *key), "left").where("coalesce(conflicts, 0) * 10 <= coalesce(n_slots, 0)")
+    good = sizes.join(slots, _same(sizes, slots, *key), "left").where(agree)
     best = good.groupBy(sizes["doc_id"], sizes["item_id"]).agg(F.max(F.struct("n_windows", (-F.coalesce("n_changed", F.lit(0))).alias("kept"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "m")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_windows", (F.col("b.n_windows") / F.col("b.m")).alias("coverage"), F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.kept")).cast("long").alias("n_changed"))
 
 
-def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def find_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, tolerance: float = 0.1, distinct: float = 0.5, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots and n_changed of each item that is in a document."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("copy"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), tokens(F.col(text)).alias("tokens"), _values(F.col(text)).alias("values"))
+    items = benchmark.select(F.col(item_id).alias("own_id"), F.col(text).alias("text"))
+    items = items.select(F.xxhash64(F.col("own_id").isNull(), "own_id", "text").alias("item_id"), "own_id", "text").distinct()
+    names = items.select("item_id", "own_id")
+    items = items.select("item_id", "text", tokens(F.col("text")).alias("tokens"), _values(F.col("text")).alias("values"))
     items = items.withColumn("width", F.least(F.lit(window), F.size("tokens")))
     formal = F.expr(f"size(tokens) >= 3 and exists(sequence(1, size(tokens) - width + 1), j -> {_MOSTLY_WORDS.format('slice(tokens, j, width)')})")
     templates, verbatim = items.where(formal), items.where(~formal & (F.size("values") > 0))
-    found = _by_template(docs, templates, coverage)
-    if verbatim.isEmpty():
-        return found
-    exact = _by_value(docs, verbatim.select("item_id", F.least(F.lit(window), F.size("values")).alias("width"), F.col("values").alias("tokens")), coverage)
-    return found.union(exact).dropDuplicates(["doc_id", "item_id"])
+    found = _by_template(docs, templates, coverage, _consistent(tolerance, distinct))
+    if not verbatim.isEmpty():
+        found = found.union(_by_value(docs, verbatim.select("item_id", F.least(F.lit(window), F.size("values")).alias("width"), F.col("values").alias("tokens")), coverage))
+    best = F.max(F.struct("coverage", "n_windows", (-F.col("n_changed")).alias("kept"), "n_slots")).alias("b")
+    best = found.join(names, "item_id").groupBy("doc_id", "own_id").agg(best)
+    return best.select("doc_id", F.col("own_id").alias("item_id"), "b.n_windows", "b.coverage", "b.n_slots", (-F.col("b.kept")).alias("n_changed"))
 
 
 def _windowed(part: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -144,11 +159,9 @@ def _by_value(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     return _covered(met, windows, coverage).select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))
 
 
-def _by_template(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+def _by_template(docs: DataFrame, items: DataFrame, coverage: float, agree: str) -> DataFrame:
     """Items (item_id, text, width, tokens) found by template windows."""
     windows, widths = _windowed(_windows(items).where(F.expr(_MOSTLY_WORDS.format("w"))))
-    if not widths:
-        return docs.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
     met = _meet(docs.select("doc_id", "copy", tokens(F.col("text")).alias("tokens")), windows, widths)
     total = _covered(met, windows, coverage)
     # slots: only items that have placeholders need the documents' values
@@ -157,15 +170,28 @@ def _by_template(docs: DataFrame, items: DataFrame, coverage: float) -> DataFram
     nothing = F.lit(0).cast("long")
     if wanted.isEmpty():
         return total.select("doc_id", "item_id", "n_windows", "coverage", nothing.alias("n_slots"), nothing.alias("n_changed"))
-    texts = docs.withColumnRenamed("doc_id", "own_id").withColumnRenamed("copy", "own_copy")
-    values = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("copy") == F.col("own_copy"))).select("doc_id", "copy", "item_id", "shift", "js", "width", "tokens", "item_raw", tokens(F.col("text")).alias("own"), raw_tokens(F.col("text")).alias("raw"))
-    places = values.withColumn("p", F.expr(f"filter(array_distinct(flatten(transform(js, j -> sequence(j, j + width - 1)))), p -> get(tokens, p - 1) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(own, p - 1 + shift) <=> get(tokens, p - 1))"))
-    at = materialize(places.select("doc_id", "copy", "item_id", "shift", "js", F.size("tokens").alias("reach"), F.expr("transform(p, p -> struct(p, get(item_raw, p - 1) as was, get(raw, p - 1 + shift) as now))").alias("places")).dropDuplicates(["doc_id", "copy", "item_id", "shift"]), "places", small=True)
+    at = materialize(_places(docs, wanted), "places", small=True)
     # first all shifts together, then, where these contradict each other, each alignment by itself
     s = _slots(at.select("doc_id", "item_id", F.explode("places").alias("s")).select("doc_id", "item_id", "s.was", "s.now"), "doc_id", "item_id")
-    s = s.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), "n_slots", "conflicts", "n_changed")
+    s = s.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), "n_slots", "conflicts", "n_changed", "n_now")
     judged = materialize(total.join(s, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")), "left"), "judged", small=True)
-    agree = "coalesce(conflicts, 0) * 10 <= coalesce(n_slots, 0)"
     found = judged.where(agree).select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
-    failed = judged.where(f"not ({agree})")
-    return found if failed.isEmpty() else found.union(_aligned(at, failed, coverage))
+    failed = judged.where(f"not {agree}")
+    return found if failed.isEmpty() else found.union(_aligned(at, failed, coverage, agree))
+
+
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, copy, item_id, shift, js, reach (the item's length) and places (p, was, now): the item's placeholders
+    that its windows cover and the document has there too. A document is tokenised once, and only the values of
+    places that are asked for leave it."""
+    key = ["doc_id", "copy", "item_id", "shift"]
+    placed = F.expr(f"explode(filter(array_distinct(flatten(transform(js, j -> sequence(j, j + width - 1)))), p -> get(tokens, p - 1) in ('{NUMBER}', '{NAME}', '{UNIT}')))")
+    spots = wanted.select(*key, placed.alias("p"), "tokens", "item_raw").select(*key, "p", (F.col("p") - 1 + F.col("shift")).alias("q"), F.expr("get(tokens, p - 1)").alias("kind"), F.expr("get(item_raw, p - 1)").alias("was"))
+    asked = spots.groupBy("doc_id", "copy").agg(F.collect_set("q").alias("qs"))
+    texts = docs.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
+    read = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))).select("d", "c", "qs", tokens(F.col("text")).alias("own"), raw_tokens(F.col("text")).alias("raw"))
+    values = read.select("d", "c", F.explode(F.expr("transform(qs, q -> struct(q as at, get(own, q) as own, get(raw, q) as now))")).alias("v")).select("d", "c", "v.at", "v.own", "v.now").distinct()
+    met = spots.join(values, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("q") == F.col("at")) & (F.col("kind") == F.col("own")))
+    places = met.groupBy(*key).agg(F.collect_list(F.struct("p", "was", "now")).alias("places"))
+    alignments = wanted.select(*key, "js", F.size("tokens").alias("reach"))
+    return alignments.join(places, _same(alignments, places, *key), "left").select(*[alignments[k] for k in key], "js", "reach", F.coalesce("places", F.array().cast("array<struct<p:int,was:string,now:string>>")).alias("places"))

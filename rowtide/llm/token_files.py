@@ -3,12 +3,14 @@
 Format of a folder: for part n (five digits at least), ``n.ids`` holds the ids of the part's documents one
 after another (little-endian, 16 bits if the vocabulary fits, else 32), ``n.offsets`` has one 64-bit integer
 more than documents: where each starts in the part, in ids, and the end; ``n.docs`` has their 64-bit doc_id
-(a null is -2**63). Parts are in ascending doc_id order, as are documents in a part; equal doc_ids go by
-text. A part's base, the number of ids before it, is the prefix sum over the parts' counts, which are in
+(a null is -2**63). Parts are in ascending doc_id order, nulls first, as are documents in a part; equal doc_ids go
+by the xxhash64 of the text, so no id, not even null, has to fit in one part. A part's base, the number of ids before it, is the prefix sum over the parts' counts, which are in
 the table ``manifest``. Readers map files into memory where the folder is local or mounted.
 
 A task writes under a name of its own attempt and renames at the end, so a task run twice leaves one part.
-Null and empty texts have just the end id. Repeated rows are written as often as they come.
+Null and empty texts have just the end id; texts of any length are written whole. Ids are those of the library,
+added tokens found in texts (such as an end-of-text mark) included. Repeated rows are written as often as they come.
+Further columns, whatever their names, are ignored. An empty table has an empty manifest and no parts.
 """
 
 from __future__ import annotations
@@ -117,7 +119,8 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, d
     width = 2 if max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1) <= 65536 else 4
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     dealt = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = dealt.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order, "text")
 
     def run(batches):
         context = TaskContext.get()

@@ -13,6 +13,8 @@ with another, and shards are sorted only within themselves.
 
 A null text is empty. A row with a null doc_id is neither changed nor compared. Rows with equal doc_id and
 text count as one document; of different texts with one doc_id, the one with the smaller xxhash64 comes first.
+Texts of any length are read whole. Further columns, whatever their names, are ignored. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -258,7 +260,7 @@ def repeated_starts(rows: DataFrame, size: int = 50, k: int = 20, collection: in
 
 def remove_repeats(df: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) of every row."""
-    rows = seeds.numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    rows = seeds.numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "row")
     spans = repeated_starts(rows, size, **options)
 
     def run(batches):

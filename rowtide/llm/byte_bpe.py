@@ -7,7 +7,9 @@ pattern crosses such a cut, so the pieces can be encoded apart and kept in a bou
 other white space is encoded whole. Decoding reverses the byte table; offsets follow from token lengths,
 as tokens tile the bytes of their text.
 
-Null and empty texts have no ids. Repeated rows, ties and further columns are kept as they are.
+Null and empty texts have no ids; long texts are encoded whole, in slices of pieces. Repeated rows, ties, null ids
+and further columns are kept as they are, but a column with the name of a result column is replaced by it, as
+``withColumn`` does. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 
 Terms are words with A-Z lower-cased. The lexicon holds the terms whose share of different texts lies in a band, so
 that it leaves out both the terms that are everywhere and those of a few documents. As each lexicon term is in
-``low`` of the documents at least, there are at most (mean distinct terms of a document) / low of them, however
-many documents there are; that bound is checked, and beyond ``most`` terms ``low`` is doubled.
+``low`` of the different texts at least, there are at most (mean distinct terms of a text) / low of them, however
+many texts there are. The band does not change with the table; a lexicon of over ``most`` terms is an error.
 
 A fingerprint hashes the sorted distinct lexicon terms of a text, then those of them in each of several random
 sub-lexicons that keep one term in 1, 2, 4, ... 1024. Two texts agree on a sub-lexicon of share p if none of the
@@ -11,7 +11,9 @@ D terms they differ in is in it, so with probability (1 - p)**D: the most likely
 of terms, is their likeness 1 - D / (m + n). It is 1 if and only if the fingerprints are equal. All terms of a
 text without lexicon terms count, and two texts without terms are alike.
 
-A null text is an empty one. Documents with equal doc_id follow each other by text; a null doc_id comes first.
+A null text is an empty one; texts of any length are read whole. Documents with equal doc_id follow each other by
+text, so repeated rows are each other's next document; a null doc_id comes first. Further columns, whatever their
+names, are ignored, and an empty table gives an empty one. Of equally likely D (ties) the smaller holds.
 """
 
 from __future__ import annotations
@@ -91,15 +93,13 @@ def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon(df: DataFrame, low: float = 0.0005, high: float = 0.1, most: int = 2_000_000, text: str = "text") -> np.ndarray:
-    """The sorted term hashes of the band [low, high] of document shares; at most ``most``, so 16 MB."""
+    """The sorted term hashes of the band [low, high] of shares of different texts; at most ``most``, so 16 MB."""
     df = distinct_texts(df, text)
     total = df.count()
     counted = materialize(document_frequencies(df, text).where(F.col("df") >= max(2, int(low * total))), "frequencies")
-    while True:
-        band = counted.where((F.col("df") >= max(2, int(low * total))) & (F.col("df") <= max(2, int(high * total))))
-        if band.count() <= most:
-            break
-        low *= 2
+    band = counted.where(F.col("df") <= max(2, int(high * total)))
+    if (n := band.count()) > most:
+        raise ValueError(f"the band has {n} terms; raise low or most")
     return np.sort(np.array([r[0] for r in band.select("term").toLocalIterator()], dtype=np.int64).view(np.uint64))
 
 

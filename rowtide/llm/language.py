@@ -7,8 +7,10 @@ gives; the counts are corrected for that, and the largest decides. The score is
 
 A language's set holds trigrams (of letters and word borders, lower case) whose share in its own texts is
 several times their mean share in all languages. It is learned from at most ``bound`` texts of each language
-(chosen by a hash of doc_id if there are more); every text is judged whole. A text that is null or has no
-letter is ``und`` with score 0. Ties go to the language whose name comes first. Up to 64 languages.
+(about so many, chosen by a hash of doc_id and text if there are more); every text is judged whole, however long.
+A text that is null or has no letter is ``und`` with score 0. Ties go to the language whose name comes first; so does
+a text with no known trigram. Up to 64 languages. Repeated rows get equal results, a null doc_id is kept (and is no
+held-out one), further columns, whatever their names, are ignored, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, min(1.0, bound / n)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) < share * (1 << 30))
     n = trigram_counts(chosen.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
     shares = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     shares = shares.withColumn("mean", F.sum("p").over(Window.partitionBy("gram")) / len(sizes)).where(F.col("p") > lift * F.col("mean"))

@@ -7,7 +7,8 @@ and neighbouring windows make maximal repeats. Windows are judged on the input.
 
 A null text has no words. A row with a null doc_id is neither changed nor compared. Rows with equal doc_id
 and text count as one document and get equal results; of different texts with one doc_id, the one with the
-smaller xxhash64 comes first.
+smaller xxhash64 comes first. Texts of any length are read whole. Further columns, whatever their names, are
+ignored by ``remove_passages`` and kept by ``strip_passages``. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from rowtide.llm import seeds
 from rowtide.llm.arrow import column_of, cut, only, slices, texts_of
 from rowtide.llm.kernels import U64, span_hashes, word_spans
-from rowtide.llm.storage import materialize
+from rowtide.llm.storage import free_name, materialize
 
 CHUNK = 1 << 21
 
@@ -89,7 +90,7 @@ def covered(n: int, spans, size: int) -> np.ndarray:
 
 def remove_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by single spaces (binary), of every row."""
-    rows = seeds.numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    rows = seeds.numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "row")
     spans = repeated_windows(rows, size, k)
 
     def run(batches):
@@ -109,8 +110,8 @@ def remove_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "do
 def strip_passages(df: DataFrame, size: int = 20, k: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with its repeated passages removed from the texts: a text that loses words has the others joined by
     single spaces, any other stays as it is. All rows and columns stay."""
-    row, marks, names = "__row", "__spans", df.columns
-    rows = seeds.numbered(df, doc_id, text, row)
+    row, marks, names = free_name(df, "row"), free_name(df, "spans"), df.columns
+    rows = seeds.numbered(df, row, doc_id, text)
     plain = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
     spans = repeated_windows(plain, size, k).select(F.col("row").alias(row), F.col("spans").alias(marks))
 

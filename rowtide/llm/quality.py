@@ -9,7 +9,9 @@ dimensions in the same way. A score is the logistic function of a sum of table e
 Fitting takes at most ``bound`` labelled rows (chosen by a hash of doc_id if there are more); features,
 binning of rows and scores cover every row. A null text is scored as an empty one, whose features are all
 zero. Equal texts get equal scores. Labels that are null are left out; if a doc_id has several, the least
-holds. An empty table gives an empty one; without labelled rows every score is one half.
+holds. An empty table gives an empty one; without labelled rows every score is one half. Texts of any length are
+read whole. Repeated rows and null ids are kept; a null doc_id is no held-out one. Ties between cuts go to the later
+feature and place. ``judge`` ignores further columns; ``score_texts`` keeps them but replaces one with the name of the score.
 """
 
 from __future__ import annotations
@@ -165,8 +167,10 @@ def sample(labels: DataFrame, label: str = "quality", bound: int = 40_000) -> Da
 
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 40_000, **options) -> AdditiveModel:
-    """The model of a table of features (each doc_id once is enough) and at most about ``bound`` rows of labels."""
-    got = rows.join(F.broadcast(sample(labels, label, bound)), "doc_id").select("doc_id", "label", "features").toPandas()  # bounded by the sample
+    """The model of a table of features and at most about ``bound`` rows of labels. Of different texts with one
+    doc_id, the least features count: so what comes to the driver is bounded by the sample."""
+    own = rows.join(F.broadcast(sample(labels, label, bound)), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("features").alias("features"))
+    got = own.toPandas()
     got = got.sort_values(["doc_id"], kind="stable")
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return AdditiveModel(**options).fit(x, got["label"].to_numpy(dtype=float))

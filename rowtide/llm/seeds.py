@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from rowtide.llm.arrow import column_of
 from rowtide.llm.kernels import U64, mix64, powers, sliding_argmin
+from rowtide.llm.storage import free_name, materialize
 
 REPEATED, REFINED = 0, 1
 #: Elements that are hashed at a time; longer documents are cut where no window is lost.
@@ -146,15 +147,14 @@ def found(seeds: DataFrame, within: bool) -> DataFrame:
     return seeds.repartition("anchor").mapInArrow(run, FOUND)
 
 
-def numbered(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
+def numbered(df: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one more column, a unique long in the order of doc_id (then of a hash of the text): the doc_id
-    itself if no two different texts share one. A null doc_id gives a null. Columns keep their names, so
-    ``row`` must be none of them."""
+    itself if no two different texts share one. A null doc_id gives a null. ``row`` must be a free name."""
     ids = df.where(F.col(doc_id).isNotNull()).select(doc_id)
     if ids.groupBy(doc_id).count().where("count > 1").isEmpty():
         return df.withColumn(row, F.col(doc_id).cast("long"))
-    mark = f"{row}_mark"
+    mark = free_name(df, "mark")
     marked = df.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
-    keys = marked.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), mark).distinct().orderBy(doc_id, mark)
-    dense = keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(f"`{doc_id}` long, `{mark}` long, `{row}` long")
-    return marked.join(dense, [doc_id, mark], "left").select(*df.columns, row)
+    keys = marked.where(F.col(doc_id).isNotNull()).select(doc_id, mark).distinct().orderBy(F.col(doc_id).cast("long"), mark)
+    numbers = materialize(keys.withColumn(row, F.monotonically_increasing_id()), "numbers")
+    return marked.join(numbers, [doc_id, mark], "left").select(*df.columns, row)

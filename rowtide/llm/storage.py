@@ -55,7 +55,7 @@ def _forget_local() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now instead of at its next periodic collection."""
+    """Let Spark forget what belongs to finished jobs (broadcasts, plans) now instead of at its next collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -83,7 +83,6 @@ def write(df: DataFrame, path: str) -> None:
     """Write df as Parquet. Spark deletes the shuffle files of the job as soon as it ends: nothing reads them again."""
     with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
-    release(df.sparkSession)
 
 
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -99,6 +98,8 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     write(df, path)
+    if not small:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -100,6 +100,14 @@ def test_url_templates_learn(spark):
     assert {r["template"] for r in url_templates.filter_urls(many, ()).collect()} == {"/p/*/q"}
 
 
+@pytest.mark.parametrize("sections", [20, 60, 200])
+def test_url_sections_do_not_spoil_each_other(spark, sections):
+    """However many sections a host has, those without a rule are not blocked for the one that has."""
+    urls = [f"http://a.com/{'en' if s == 0 else 'x' + chr(97 + s // 26) + chr(97 + s % 26)}/{chr(97 + k)}" for s in range(sections) for k in range(8)]
+    got = url_templates.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert {(r["path"].split("/")[1] == "en", r["verdict"]) for r in got.collect()} == {(True, "block"), (False, "allow")}
+
+
 # -- 2 -------------------------------------------------------------------------------------------------------
 
 
@@ -323,6 +331,56 @@ def test_contamination_by_values(spark):
     assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(1, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
 
 
+def test_contamination_of_made_up_items(spark):
+    """Verbatim copies and consistent variants are found; inconsistent ones, those with one value for all, and clean texts are not."""
+    rng = random.Random(21)
+    names = [f"{a}{b}" for a in ("Al", "Bo", "Cy", "Di", "Ed", "Fi", "Gu", "Ha") for b in ("na", "rto", "lisa", "mund")]
+    items, rows, want = [], [], set()
+    for i in range(12):
+        body = [f"v{i}x{rng.randrange(30)}".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(70)]
+        at = sorted(rng.sample(range(8, 68, 5), 8))
+        slots = {p: rng.choice([("n", k) for k in range(3)] + [("m", k) for k in range(3)]) for p in at}
+        def say(value, body=body, slots=slots):
+            return " ".join(f"{w} {value(slots[k])}" if k in slots else w for k, w in enumerate(body))
+        def drawn():
+            who, what = rng.sample(names, 3), rng.sample(range(10, 999), 3)
+            return lambda s: who[s[1]] if s[0] == "n" else str(what[s[1]])
+        item = say(drawn())
+        items += [(i, item), (i, item)]
+        several = len(set(slots.values())) < len(slots)
+        texts = [(item, True), (f"So it is. {say(drawn())} And more.", True), (" ".join(body[::-1]), False), (f"{say(drawn())} {item} {say(drawn())}", True)]
+        if several:
+            texts.append((say(lambda s: rng.choice(names) if s[0] == "n" else str(rng.randrange(1000, 10**6))), False))
+        if len({s for s in slots.values() if s[0] == "n"}) == 3:
+            texts.append((say(lambda s: "Olaf" if s[0] == "n" else "7"), False))
+        for text, found in texts:
+            rows.append((len(rows), text))
+            if found:
+                want.add((len(rows) - 1, i))
+    items.append((None, items[0][1]))
+    want |= {(d, None) for d, i in want if i == 0}
+    got = decontaminate.find_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_contamination_against_all_windows(spark):
+    """The documents of the smallest table against its items, window by window."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    own = {r[0]: r[1] for r in docs.select("doc_id", decontaminate.tokens(F.col("text"))).collect()}
+    want = set()
+    for item, tokens in items.select("item_id", decontaminate.tokens(F.col("text"))).collect():
+        assert not set(tokens) & {decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT} and len(tokens) >= 3
+        width = min(8, len(tokens))
+        windows = [tuple(tokens[j : j + width]) for j in range(len(tokens) - width + 1)]
+        for doc, text in own.items():
+            there = {tuple(text[i : i + width]) for i in range(len(text) - width + 1)}
+            if sum(w in there for w in windows) >= 0.5 * len(windows):
+                want.add((doc, item))
+    got = decontaminate.find_contaminated(docs.withColumn("copy", F.lit("x")).withColumn("item_id", F.lit(1)), items)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and want
+
+
 def test_tokens_keep_their_places(spark, docs):
     odd = spark.createDataFrame([("it cost 5kg, said McDonald to Ann\ue000 on 1.5.2020 at 3 p.m.",), ("Été à Paris, vers Lyon",)], "text string")
     df = docs.select("text").union(odd)
@@ -485,7 +543,11 @@ def test_token_files_with_odd_ids(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read_tokens(spark, folder).collect())
-    assert got == [(0, None, 2), (2, None, 2), (4, 2, 1), (5, 2, 2), (7, 2, 2)]
+    assert [d for _, d, _ in got] == [None, None, 2, 2, 2] and sorted(n for _, d, n in got if d == 2) == [1, 2, 2]
+    assert [s for s, _, _ in got] == np.cumsum([0] + [n for _, _, n in got])[:-1].tolist()
+    nulls = spark.createDataFrame([(None, f"w{i}") for i in range(200)], "doc_id long, text string")
+    manifest = token_files.write_tokens(nulls, f"file://{tmp_path}/nulls", public_tokenizers.path("word_bpe_49k.json"), end_id=1, parts=4)
+    assert manifest.count() == 4 and manifest.agg(F.sum("n_docs")).first()[0] == 200
 
 
 def test_token_files_with_added_tokens(spark, tmp_path):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rowtide.llm import kernels
 from rowtide.llm.arrow import column_of, only, slices, texts_of
 from rowtide.llm.components import components
-from rowtide.llm.storage import free_name, materialize
+from rowtide.llm.storage import discard, free_name, materialize
 
 
 def fingerprints(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,16 +194,20 @@ def _leader_pairs(hits: DataFrame, seeds: int = 2) -> DataFrame:
 
 def _other_pairs(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
     """All pairs of nodes of different groups that can be similar: they share a shingle of their prefixes, and have
-    enough shingles from there on. Rows of a shingle with over ``hot`` nodes are dealt out, each pair to one place."""
+    enough shingles from there on. Of shingles that the same nodes share, only the first in the order counts, as it
+    leaves the most. Rows of a shingle with over ``hot`` nodes are dealt out, each pair to one place."""
     keyed = nodes.select("node", "grp", F.posexplode("prefix").alias("pos", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("grp").alias("g"), F.max("grp").alias("h")).where("g != h")
-    shared = shared.select("key", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
-    rows = materialize(keyed.join(shared, "key").join(nodes.select("node", "n", *_SKETCHES), "node"), "prefixes")
+    shared = keyed.groupBy("key").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).where("g != h").select("key")
+    rows = materialize(keyed.join(shared, "key"), "prefixes")
+    lists = rows.groupBy("key").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("list"), F.min(F.struct("node", "pos")).alias("head"))
+    one = lists.groupBy("list", "count", "head.node").agg(F.min(F.struct("head.pos", "key"))["key"].alias("key"))
+    one = one.select("key", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
+    rows = materialize(rows.join(one, "key").join(nodes.select("node", "n", *_SKETCHES), "node"), "postings")
     a = _side(rows, "a", "key", F.col("grp").alias("x"), F.col("pos").alias("i"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     b = _side(rows, "b", "key", F.col("grp").alias("y"), F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     enough = f"least(an - i, bn - j) >= (an + bn) * {similarity / (1 + similarity)!r}D - 1e-6D"
     meet = (a["key"] == b["key"]) & (a["chunk"] == b["chunk"]) & F.expr(f"a < b and x != y and {enough} and {_differ(similarity)}")
-    return a.join(b, meet).select("a", "b").distinct()
+    return a.join(b, meet).select("a", "b")
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,6 +232,8 @@ def _groups(df: DataFrame, words: int, similarity: float, distance: int, hot: in
     prints = materialize(_signatures(df, words, similarity, doc_id, text), "signatures")
     best = prints.groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _SKETCHES])
     nodes = materialize(best.where("rep is not null"), "nodes")
+    members = materialize(prints.select("doc_id", "mark", "sig"), "members")
+    discard(prints)
     by_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
     close = links(by_fp.select("fp"), distance)
     close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -238,6 +244,7 @@ def _groups(df: DataFrame, words: int, similarity: float, distance: int, hot: in
     shared = keyed.groupBy("key").count().where("count > 1")
     hits = materialize(keyed.join(shared, "key"), "hits")
     texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+    reps = materialize(nodes.select("node", "rep"), "reps")
 
     def run(batches):
         only()
@@ -248,7 +255,7 @@ def _groups(df: DataFrame, words: int, similarity: float, distance: int, hot: in
     def verified(pairs, name):
         """The pairs that are similar; only texts of their nodes are read again."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        own = texts.join(nodes.select("node", "rep").join(wanted, "node").select("rep").distinct(), "rep", "left_semi")
+        own = texts.join(reps.join(wanted, "node").select("rep").distinct(), "rep", "left_semi")
         sets = materialize(own.select("text").mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
@@ -258,13 +265,14 @@ def _groups(df: DataFrame, words: int, similarity: float, distance: int, hot: in
     led = materialize(led.union(printed).distinct(), "led", small=True)
     first = components(verified(led, "first"))
     grouped = materialize(nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "n", "prefix", *_SKETCHES), "grouped")
-    others = materialize(_other_pairs(grouped, similarity, hot), "others", small=True)
+    discard(nodes)
+    others = materialize(_other_pairs(grouped, similarity, hot).distinct(), "others", small=True)
     reached = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(others, "more")))
-    named = nodes.select("node", "rep").join(reached, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    named = reps.join(reached, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     table = named.join(least, "component").select(F.col("node").alias("sig"), "component", "component_id")
     one = F.col("doc_id").isNotNull()
-    return prints.select("doc_id", "mark", "sig").join(table, "sig", "left").select("doc_id", "mark", F.when(one, F.col("component")).alias("component"), F.when(one, F.col("component_id")).alias("component_id"))
+    return members.join(table, "sig", "left").select("doc_id", "mark", F.when(one, F.col("component")).alias("component"), F.when(one, F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

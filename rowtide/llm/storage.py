@@ -103,6 +103,15 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table in the shared folder that df, from ``materialize``, reads; nothing must read it afterwards."""
+    found = {path.rpartition("/")[0].rpartition("/")[2] for path in df.inputFiles()}
+    for path in [p for p in _made if p.rpartition("/")[2] in found]:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> SparkSession:
     """Bound the Arrow batches of the session: texts differ so much in length that a bound in rows is none."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

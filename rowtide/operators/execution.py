@@ -5,11 +5,21 @@ from __future__ import annotations
 import contextlib
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from rowtide.streaming.runner import shared_dir
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: iterations neither grow its plan nor compute it again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def drain(df: DataFrame, daemon: bool = False) -> threading.Thread | None:
     """Compute all rows and keep none; with ``daemon`` in a thread of its own, which is returned."""

@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowtide.operators.execution import settled
 
-def ancestors(nodes: DataFrame, node: str, parent: str, depth: int = 64) -> DataFrame:
+
+def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """node, ancestor and distance, itself at 0 included; by pointer doubling, a join for each doubling of the
-    depth. A root has a null parent or itself as parent."""
+    depth, whatever it is. A root has a null parent or itself as parent. A cycle is an error."""
     up = nodes.select(F.col(node).alias("node"), F.when(F.col(parent) != F.col(node), F.col(parent)).alias("up"))
-    pairs = up.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    step, length = up.where("up is not null"), 1
-    while length <= depth and not step.isEmpty():
-        more = pairs.join(step.withColumnRenamed("node", "at"), F.col("ancestor") == F.col("at")).select("node", F.col("up").alias("ancestor"), (F.col("distance") + length).alias("distance"))
-        pairs = pairs.union(more)
-        step = step.alias("x").join(step.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up"))
+    most, length = nodes.count(), 1
+    steps = [settled(up.where("up is not null"), "step")]
+    while not steps[-1].isEmpty():
+        if length > most:
+            raise ValueError("the nodes have a cycle")
+        x, y = steps[-1].alias("x"), steps[-1].alias("y")
+        steps.append(settled(x.join(y, F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up")), "step"))
         length *= 2
+    pairs = settled(up.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")), "pairs")
+    for k, step in enumerate(steps[:-1]):
+        more = pairs.join(step.withColumnRenamed("node", "at"), F.col("ancestor") == F.col("at")).select("node", F.col("up").alias("ancestor"), (F.col("distance") + 2**k).alias("distance"))
+        pairs = settled(pairs.union(more), "pairs")
     return pairs
 
 
-def subtree_totals(nodes: DataFrame, node: str, parent: str, *sums: str, depth: int = 64) -> DataFrame:
+def subtree_totals(nodes: DataFrame, node: str, parent: str, *sums: str) -> DataFrame:
     """For each node, its depth and the sums over itself and all below it."""
-    pairs = ancestors(nodes, node, parent, depth)
+    pairs = ancestors(nodes, node, parent)
     level = pairs.groupBy("node").agg(F.max("distance").alias("depth"))
     below = pairs.join(nodes.withColumnRenamed(node, "__node"), F.col("node") == F.col("__node")).groupBy("ancestor").agg(F.count("*").alias("n_nodes"), *[F.sum(c).alias(c) for c in sums])
     return below.join(level, F.col("ancestor") == F.col("node")).select(F.col("ancestor").alias(node), "depth", "n_nodes", *sums)
 
 
-def paths(nodes: DataFrame, node: str, parent: str, separator: str = "/", depth: int = 64) -> DataFrame:
+def paths(nodes: DataFrame, node: str, parent: str, separator: str = "/") -> DataFrame:
     """node and the ids from its root to itself joined by a separator."""
-    pairs = ancestors(nodes, node, parent, depth)
+    pairs = ancestors(nodes, node, parent)
     items = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("ancestor").cast("string").alias("a"))))
     return pairs.groupBy("node").agg(F.array_join(F.transform(items, lambda x: x["a"]), separator).alias("path")).withColumnRenamed("node", node)

@@ -150,3 +150,15 @@ def test_tree(rows):
     totals = {r["id"]: (r["depth"], r["n_nodes"], r["v"]) for r in tree.subtree_totals(df, "id", "parent", "v").collect()}
     assert totals == {1: (0, 5, 21), 2: (1, 3, 10), 3: (1, 1, 1), 4: (2, 2, 5), 5: (3, 1, 3)}
     assert {r["id"]: r["path"] for r in tree.paths(df, "id", "parent").collect()}[5] == "1/2/4/5"
+
+
+def test_deep_tree(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(1000)], "id long, parent long, v long")
+    totals = {r["id"]: (r["depth"], r["n_nodes"], r["v"]) for r in tree.subtree_totals(chain, "id", "parent", "v").collect()}
+    assert totals == {i: (i, 1000 - i, 1000 - i) for i in range(1000)}
+
+
+def test_cycle(spark):
+    nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None), (5, 4)], "id long, parent long")
+    with pytest.raises(ValueError, match="cycle"):
+        tree.ancestors(nodes, "id", "parent")

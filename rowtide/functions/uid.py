@@ -18,7 +18,7 @@ DIGITS, BASE, LIMB = 22, len(ALPHABET), 1 << 32
 def uuid_limbs(uuid: Column | str) -> Column:
     """The limbs of a UUID in text form; an error for other texts."""
     text = F.lower(F.regexp_replace(uuid, "[-{}]|^urn:uuid:", ""))
-    checked = F.when(text.rlike("^[0-9a-f]{32}$"), text).otherwise(F.raise_error(F.concat(F.lit("not a UUID: "), F.coalesce(F.col(uuid) if isinstance(uuid, str) else uuid, F.lit("null")))))
+    checked = F.when(text.rlike(r"^[0-9a-f]{32}\z"), text).otherwise(F.raise_error(F.concat(F.lit("not a UUID: "), F.coalesce(F.col(uuid) if isinstance(uuid, str) else uuid, F.lit("null")))))
     return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(checked, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
 
 
@@ -56,7 +56,7 @@ def decode(uid: Column | str) -> Column:
 
 
 def _decode(text: Column) -> Column:
-    valid = text.rlike(f"^[{ALPHABET}]{{{DIGITS}}}$")
+    valid = text.rlike(rf"^[{ALPHABET}]{{{DIGITS}}}\z")
     zero = F.array(*[F.lit(0).cast("long")] * 4)
 
     def add(limbs, i):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rowtide.plans.registry import query, table
@@ -9,12 +11,12 @@ from rowtide.sources import sound, vector
 from rowtide.streaming.runner import shared_dir
 
 
-@query("select user_id, t, channel, cast(round_even(value, 0) as bigint) as sample from (select user_id, row_number() over (partition by user_id order by event_id) - 1 as t, value from events where user_id < 20), range(2) c(channel)")
+@query("select user_id, t, channel, cast(round_even(value, 0) as bigint) as sample from (select user_id, row_number() over (partition by user_id order by event_id) - 1 as t, value from events), range(2) c(channel)")
 def sound_round_trip(spark, sf_dir):
     from pyspark.sql import Window
 
     t = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
-    events = table(spark, sf_dir, "events", "event_id", "user_id", "value").where("user_id < 20").withColumn("t", t)
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("t", t)
     samples = events.withColumn("channel", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sample", F.col("value").cast("float"))
     files = sound.wav_files(samples.select("user_id", "t", "channel", "sample"), "user_id").select(F.col("user_id").cast("string").alias("path"), "content")
     back = sound.wav_samples(files)
@@ -32,8 +34,8 @@ def svg_round_trip(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(3))))
     points = nation.select(F.lit("map").alias("path"), F.col("n_name").alias("label"), F.lit(0).alias("polygon"), "point", (F.col("n_nationkey") * 10 + F.col("point")).alias("x"), (F.col("n_regionkey") * 7 + F.col("point") * F.col("point")).alias("y"))
     texts = vector.svg_texts(points, 100, 300)
-    folder = f"{shared_dir(spark)}/svg"
-    texts.select("text").coalesce(1).write.mode("overwrite").text(folder)
+    folder = f"{shared_dir(spark)}/svg-{uuid.uuid4().hex}"
+    texts.select("text").coalesce(1).write.text(folder)
     back = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").cast("binary").alias("content"))
     import pandas as pd
 

@@ -92,11 +92,11 @@ def describe_bool(spark, sf_dir):
     return describe.describe_bool(table(spark, sf_dir, "labels", "toxic"), "toxic").withColumn("share", F.round("share", 9))
 
 
-@query("""with b as (select string_agg(case when s_acctbal > 0 then '1' else '0' end, '' order by s_suppkey) as s from supplier where s_suppkey < 10)
-    select translate(array_to_string(list_transform(range(0, 3), lambda i: upper(to_hex(list_reduce(list_transform(string_split(substr(rpad(s, 12, '0'), (i * 4 + 1)::bigint, 4), ''), lambda c: c::int), lambda a, x: a * 2 + x)))), ''), '0', '_') as bits from b""")
+@query("""with b as (select string_agg(case when n_regionkey > 1 then '1' else '0' end, '' order by n_nationkey) as s from nation)
+    select translate(array_to_string(list_transform(range(0, cast(ceil(length(s) / 4.0) as bigint)), lambda i: upper(to_hex(list_reduce(list_transform(string_split(substr(rpad(s, 4 * cast(ceil(length(s) / 4.0) as int), '0'), (i * 4 + 1)::bigint, 4), ''), lambda c: c::int), lambda a, x: a * 2 + x)))), ''), '0', '_') as bits from b""")
 def bool_bits(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").where("s_suppkey < 10").withColumn("b", F.col("s_acctbal") > 0)
-    return describe.bool_bits(rows, "b", "s_suppkey")
+    rows = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").withColumn("b", F.col("n_regionkey") > 1)
+    return describe.bool_bits(rows, "b", "n_nationkey")
 
 
 @query("select round(avg(value) filter (event_id >= n - n // 2) - avg(value) filter (event_id < n // 2), 6) as gradient from events, (select count(*) as n from events)")
@@ -165,9 +165,9 @@ def resize_labels(spark, sf_dir):
     return _long(images.resize_labels(_raster(spark, sf_dir, label), 8, 8, 4, 4))
 
 
-@query("select vec_id, array_to_string(list_transform(embedding[1:8], lambda x: cast(floor(least(greatest(x::double * 255, 0), 255)) as bigint)), ',') as u8 from embeddings")
+@query("select vec_id, array_to_string(list_transform(embedding, lambda x: cast(floor(least(greatest(x::double * 255, 0), 255)) as bigint)), ',') as u8 from embeddings")
 def to_u8(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.array_join(F.transform(F.slice("embedding", 1, 8), lambda x: images.to_u8(x.cast("double"))), ",").alias("u8"))
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.array_join(F.transform("embedding", lambda x: images.to_u8(x.cast("double"))), ",").alias("u8"))
 
 
 @query("select i, 'hsl(' || (i * 360 // 7) || ',100%,50%)' as color from range(7) r(i)")
@@ -175,9 +175,9 @@ def hsv_colors(spark, sf_dir):
     return images.hsv_colors(spark, 7)
 
 
-@query("select o_orderkey, case when x < 999.5 then format('{:.3g}', x) else case when x / 1000 < 99.95 then format('{:.3g}', x / 1000) else format('{:.0f}', x / 1000) end || 'k' end as s from (select o_orderkey, o_totalprice as x from orders where o_totalprice < 999000)")
+@query("select o_orderkey, case when x < 999.5 then format('{:.3g}', x) when x < 999500 then case when x / 1000 < 99.95 then format('{:.3g}', x / 1000) else format('{:.0f}', x / 1000) end || 'k' else case when x / 1000000 < 99.95 then format('{:.3g}', x / 1000000) else format('{:.0f}', x / 1000000) end || 'M' end as s from (select o_orderkey, o_totalprice as x from orders)")
 def fmt_si(spark, sf_dir):
-    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").where("o_totalprice < 999000").select("o_orderkey", scalars.si("o_totalprice").alias("s"))
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", scalars.si("o_totalprice").alias("s"))
 
 
 @query("select doc_id, case when n = 0 then '0B' when n < 1023.5 then case when n < 99.95 then format('{:.3g}', n::double) else format('{:.0f}', n::double) end || 'B' else case when n / 1024 < 99.95 then format('{:.3g}', n / 1024.0::double) else format('{:.0f}', n / 1024.0::double) end || 'KiB' end as s from (select doc_id, n_chars as n from documents)")

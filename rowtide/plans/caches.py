@@ -89,7 +89,10 @@ def batch_timeout(spark, sf_dir):
     return batching.batches_by_timeout(table(spark, sf_dir, "events", "event_id", "user_id", "ts"), 3, 12 * 3600, "ts", ["user_id"]).select("event_id", "batch")
 
 
-@query()
+@query("""with recursive e as (select event_id, user_id, value as v, row_number() over (partition by user_id order by event_id) as r from events),
+    b as (select event_id, user_id, r, 0::bigint as batch, v as held from e where r = 1
+    union all select e.event_id, e.user_id, e.r, case when held + e.v >= 500 then batch + 1 else batch end, case when held + e.v >= 500 then e.v else held + e.v end
+    from b join e on e.user_id = b.user_id and e.r = b.r + 1) select event_id, batch from b""")
 def batch_weight(spark, sf_dir):
     return batching.batches_by_cut(table(spark, sf_dir, "events", "event_id", "user_id", "value"), batching.usable_by_weight(500.0), "value", "event_id", ["user_id"]).select("event_id", "batch")
 

@@ -248,6 +248,27 @@ def test_language_does_not_depend_on_neighbours():
     assert (model.counts(texts) == np.concatenate([model.counts([t]) for t in texts])).all()
 
 
+def test_language_against_plain_sets(spark):
+    """Masks and counts, trigram by trigram; the filter is large enough here to have next to no chance hits."""
+    rng = random.Random(18)
+    sounds = {"xx": ["ba", "bo", "ka"], "yy": ["zer", "tun", "vök"], "zz": ["qui", "ñar", "lle"]}
+    make = lambda lang: " ".join("".join(rng.choice(sounds[lang]) for _ in range(3)) for _ in range(20))
+    rows = [(i, make(lang), lang) for i, lang in enumerate(sorted(sounds) * 20)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = lambda text: [f" {text.lower()}  "[i : i + 3] for i in range(len(text))]
+    count = {lang: {} for lang in sounds}
+    for _, text, lang in rows:
+        for g in grams(text):
+            count[lang][g] = count[lang].get(g, 0) + 1
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in count.items()}
+    every = {g for c in share.values() for g in c}
+    own = {lang: {g for g in every if share[lang].get(g, 0) > 1.5 * sum(c.get(g, 0) for c in share.values()) / 3} for lang in share}
+    for text in [make("xx"), make("yy"), make("zz"), "baquizer tun lleka"]:
+        want = [sum(g in own[lang] for g in grams(text)) for lang in model.languages]
+        got = model.counts([text])[0]
+        assert np.abs(got - want).max() <= 3 and got.argmax() == int(np.argmax(want)), text
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -504,6 +525,31 @@ def test_held_out_labels_are_not_read(spark):
     assert scores[0] == scores[1]
 
 
+def test_scores_against_tables():
+    """A score is the logistic function of the bias and one entry of each table."""
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float)
+    model = quality.AdditiveModel(rounds=20).fit(x, y)
+    place = lambda edges, v: sum(bool(e <= v) for e in edges)
+    for row, score in zip(x[:50], model.score(x[:50])):
+        bins = [place(e, v) for e, v in zip(model.edges, row)]
+        total = model.bias + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[place(gj, bins[j]), place(gk, bins[k])] for j, k, gj, gk, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+    names = dict(zip(quality.FEATURES, quality.features_of(b"One one TWO 22 -- ab.\nOne one TWO")))
+    assert np.isclose(names["log_words"], np.log1p(9)) and np.isclose(names["mean_length"], np.mean([3, 3, 3, 2, 2, 3, 3, 3, 3]))
+    assert np.isclose(names["capitals"], 2 / 9) and np.isclose(names["bare"], 1 / 9) and np.isclose(names["distinct"], 6 / 9) and np.isclose(names["stops"], 1 / 9)
+
+
+def test_quality_of_repeated_ids(spark):
+    rows = [(1, "good text here."), (1, "BAD!! BAD!!"), (1, "BAD!! BAD!!"), (2, "fine words. so fine"), (None, "x")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    x = quality.features(d)
+    got = quality.fit(x, spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int"))
+    assert got.bias == 0.0  # one row an id: labels 1 and 0
+    assert quality.judge(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == len(rows)
+
+
 def test_pairs_of_features():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
@@ -604,6 +650,41 @@ def test_imatch(spark, docs, corpus, none):
     assert imatch.fingerprint_edits(none, imatch.lexicon(none)).collect() == []
 
 
+def test_fingerprints_against_plain_sets():
+    """Sub-lexicon hashes agree exactly where the terms drawn are the same; likeness is the most likely of a grid."""
+    rng = np.random.default_rng(5)
+    lexicon = np.unique(kernels.mix64(np.arange(1, 300, dtype=np.uint64)))
+    terms = [np.unique(rng.choice(lexicon, n)) for n in (0, 1, 5, 60, 61, 200)]
+    terms.append(terms[3][:-2])
+    terms.append(np.array([7, 9], dtype=np.uint64))  # none in the lexicon: all count
+    values, count = imatch.sub_hashes(terms, lexicon)
+    assert count.tolist() == [len(t) for t in terms]
+    drawn = [[frozenset(t for t in own.tolist() if int(kernels.mix64(np.array([t], dtype=np.uint64) ^ seed)[0]) <= int(limit)) for seed, limit in zip(imatch._SEEDS, imatch._LIMITS)] for own in terms]
+    for i in range(len(terms)):
+        for j in range(len(terms)):
+            for k in range(len(imatch.SHARES)):
+                if drawn[i][k] == drawn[j][k]:
+                    assert values[i, k] == values[j, k]
+            assert (values[i] == values[j]).all() == (i == j)
+    pairs = [(3, 3), (3, 6), (3, 4), (2, 5)]
+    got = imatch.likeness(*(np.array([x[p[s]] for p in pairs]) for s in (0, 1) for x in (values, count)))
+    for (i, j), near in zip(pairs, got):
+        if i == j:
+            assert near == 1.0
+            continue
+        best = None
+        for g in imatch.GRID[1:]:
+            d = g * (count[i] + count[j])
+            score = 0.0
+            for k, p in enumerate(imatch.SHARES[1:], 1):
+                stay = (1 - p) ** d
+                score += np.log(stay) if values[i, k] == values[j, k] else np.log(max(1e-12, 1 - stay))
+            if best is None or score > best[0] + 1e-9:
+                best = (score, 1 - g)
+        assert abs(near - min(best[1], 1 - imatch.GRID[1])) < 1e-9
+    assert got[1] > got[3]
+
+
 def test_imatch_with_many_copies(spark):
     rng = random.Random(4)
     texts = [words(rng, 20, 300) for _ in range(60)]

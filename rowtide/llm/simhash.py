@@ -195,18 +195,22 @@ def _leader_pairs(hits: DataFrame, seeds: int = 2) -> DataFrame:
 def _other_pairs(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
     """All pairs of nodes of different groups that can be similar: they share a shingle of their prefixes, and have
     enough shingles from there on. Of shingles that the same nodes share, only the first in the order counts, as it
-    leaves the most. Rows of a shingle with over ``hot`` nodes are dealt out, each pair to one place."""
+    leaves the most; a pair that shares one of the first 32 of them is not met again at a later one. Rows of a shingle
+    with over ``hot`` nodes are dealt out, each pair to one place."""
     keyed = nodes.select("node", "grp", F.posexplode("prefix").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).where("g != h").select("key")
     rows = materialize(keyed.join(shared, "key"), "prefixes")
     lists = rows.groupBy("key").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("list"), F.min(F.struct("node", "pos")).alias("head"))
     one = lists.groupBy("list", "count", "head.node").agg(F.min(F.struct("head.pos", "key"))["key"].alias("key"))
     one = one.select("key", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
-    rows = materialize(rows.join(one, "key").join(nodes.select("node", "n", *_SKETCHES), "node"), "postings")
-    a = _side(rows, "a", "key", F.col("grp").alias("x"), F.col("pos").alias("i"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    b = _side(rows, "b", "key", F.col("grp").alias("y"), F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    own = rows.join(one, "key").groupBy("node").agg(F.first("grp").alias("grp"), F.array_sort(F.collect_list(F.struct("pos", "key", "chunks"))).alias("own"))
+    own = own.join(nodes.select("node", "n", *_SKETCHES), "node").withColumn("v", F.explode("own"))
+    before = F.expr("transform(filter(slice(own, 1, 32), o -> o.pos < v.pos), o -> o.key)").alias("before")
+    rows = materialize(own.select("node", "grp", "n", *_SKETCHES, "v.pos", "v.key", "v.chunks", before), "postings")
+    a = _side(rows, "a", "key", F.col("grp").alias("x"), F.col("pos").alias("i"), F.col("before").alias("p"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    b = _side(rows, "b", "key", F.col("grp").alias("y"), F.col("pos").alias("j"), F.col("before").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     enough = f"least(an - i, bn - j) >= (an + bn) * {similarity / (1 + similarity)!r}D - 1e-6D"
-    meet = (a["key"] == b["key"]) & (a["chunk"] == b["chunk"]) & F.expr(f"a < b and x != y and {enough} and {_differ(similarity)}")
+    meet = (a["key"] == b["key"]) & (a["chunk"] == b["chunk"]) & F.expr(f"a < b and x != y and {enough} and {_differ(similarity)} and not arrays_overlap(p, q)")
     return a.join(b, meet).select("a", "b")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowtide.operators.folding import fold_rows
+
 
 def batches_by_count(df: DataFrame, size: int, order_by: str, partition_by: Sequence[str], to: str = "batch") -> DataFrame:
     """df with the number of its batch: ``size`` rows each, the last may be shorter."""
@@ -38,15 +39,30 @@ class Batcher:
 def batches_by_timeout(df: DataFrame, size: int, timeout_seconds: float, ts: str, partition_by: Sequence[str], to: str = "batch") -> DataFrame:
     """df with the number of its batch under a Batcher for each partition; a size of 0 is no bound. Where a batch
     begins depends on where the one before it ended, so each partition is one sequence."""
-    columns, schema = df.columns, T.StructType([*df.schema.fields, T.StructField(to, T.LongType())])
-    rows = df.withColumn("__now", F.unix_micros(F.col(ts).cast("timestamp")))
+    return fold_rows(
+        df, partition_by, ts, lambda: Batcher(size, timeout_seconds * 1e6), lambda batcher, rows: [batcher.add(t) for t in rows["__now"].tolist()],
+        to, T.LongType(), helpers={"__now": F.unix_micros(F.col(ts).cast("timestamp"))},
+    )
+
+
+class Cutter:
+    """Batches by a rule: the items held, and the number of their batch."""
+
+    def __init__(self, usable: Callable[[list], int]):
+        self.usable, self.held, self.number = usable, [], 0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__now", kind="stable")
-        batcher = Batcher(size, timeout_seconds * 1e6)
-        return pdf[columns].assign(**{to: [batcher.add(t) for t in pdf["__now"].tolist()]})
+    def add(self, items: list) -> list[int]:
+        """The batches of the items that went out, in order."""
+        out = []
+        for item in items:
+            self.held.append(item)
+            while self.held and (n := self.usable(self.held)):
+                out += [self.number] * n
+                self.held, self.number = self.held[n:], self.number + 1
+        return out
 
-    return rows.groupBy(*partition_by).applyInPandas(run, schema)
+    def rest(self) -> list[int]:
+        return [self.number] * len(self.held)
 
 
 def usable_by_weight(limit: float) -> Callable[[list[float]], int]:
@@ -56,17 +72,5 @@ def usable_by_weight(limit: float) -> Callable[[list[float]], int]:
 
 def batches_by_cut(df: DataFrame, usable: Callable[[list], int], value: str, order_by: str, partition_by: Sequence[str], to: str = "batch") -> DataFrame:
     """df with the number of its batch: after each item, ``usable`` says how many of those held go out (0: none);
-    the rest stays, and what is left at the end is one batch."""
-    columns, schema = df.columns, T.StructType([*df.schema.fields, T.StructField(to, T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by, kind="stable")
-        out, held, number = [], [], 0
-        for item in pdf[value].tolist():
-            held.append(item)
-            while held and (n := usable(held)):
-                out += [number] * n
-                held, number = held[n:], number + 1
-        return pdf[columns].assign(**{to: out + [number] * len(held)})
-
-    return df.groupBy(*partition_by).applyInPandas(run, schema)
+    the rest stays, and what is left at the end is one batch. A task holds a batch of rows and the items held."""
+    return fold_rows(df, partition_by, order_by, lambda: Cutter(usable), lambda cutter, rows: cutter.add(rows[value].tolist()), to, T.LongType(), finish=Cutter.rest)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowtide.operators.folding import fold_rows
 from rowtide.operators.sequence import _names
 
 
@@ -113,21 +114,19 @@ class CacheModel:
         return True
 
 
-def replay(trace: DataFrame, key: str, order_by: str, partition_by: Sequence[str] = (), ts: str | None = None, size: str | None = None, **bounds) -> DataFrame:
-    """trace with ``hit`` under a CacheModel per partition. A cache is one sequence of decisions, so each
-    partition's trace is one task's work; without partition_by that is the whole trace."""
-    columns = trace.columns
-    schema = T.StructType([*trace.schema.fields, T.StructField("hit", T.BooleanType())])
-    rows = trace if ts is None else trace.withColumn("__now", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+def replay(trace: DataFrame, key: str, order_by: str, partition_by: Sequence[str] = (), ts: str | None = None, size: str | None = None, ttl: float | None = None, **bounds) -> DataFrame:
+    """trace with ``hit`` under a CacheModel per partition; ttl is in seconds of ``ts``. A cache is one sequence of
+    decisions, so each partition's trace is one task's work, which holds the cache and a batch of rows; without
+    partition_by that is the whole trace."""
+    helpers = {} if ts is None else {"__now": F.unix_micros(F.col(ts).cast("timestamp"))}
+    bounds["ttl"] = None if ttl is None else ttl * 1_000_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by, kind="stable")
-        cache = CacheModel(**bounds)
-        now = pdf["__now"].tolist() if ts is not None else [0.0] * len(pdf)
-        sizes = pdf[size].tolist() if size is not None else [0.0] * len(pdf)
-        return pdf[columns].assign(hit=[cache.access(*x) for x in zip(pdf[key].tolist(), now, sizes)])
+    def step(cache: CacheModel, rows: pd.DataFrame) -> list:
+        now = rows["__now"].tolist() if ts is not None else [0] * len(rows)
+        sizes = rows[size].tolist() if size is not None else [0] * len(rows)
+        return [cache.access(*x) for x in zip(rows[key].tolist(), now, sizes)]
 
-    return rows.groupBy(*partition_by).applyInPandas(run, schema)
+    return fold_rows(trace, partition_by, order_by, lambda: CacheModel(**bounds), step, "hit", T.BooleanType(), helpers=helpers)
 
 
 def lru_hits(trace: DataFrame, key: str, order_by: str, count: int, **options) -> DataFrame:

@@ -79,7 +79,9 @@ def max_concurrency(df: DataFrame, start: str | Column, end: str | Column, parti
 
 def mangle(df: DataFrame, name: str, order_by: str | Sequence[str], to: str = "mangled") -> DataFrame:
     """df with names made unique: the k-th repeat of ``x`` is ``x:k``, the first stays bare, null stays null."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(*_names(order_by))) - 1
+    order = _names(order_by)
+    apart = F.when(F.col(name).isNull(), F.xxhash64(*order))  # nulls need no numbers, so they are dealt out
+    k = F.row_number().over(Window.partitionBy(name, apart).orderBy(*order)) - 1
     return df.withColumn(to, F.when(F.col(name).isNull(), F.lit(None)).when(k == 0, F.col(name)).otherwise(F.concat(name, F.lit(":"), k.cast("string"))))
 
 
@@ -93,8 +95,12 @@ def dense_ids(df: DataFrame, key: str, order_by: str, to: str = "id") -> DataFra
 
 
 def ema(df: DataFrame, value: str, order_by: str, partition_by: Sequence[str], keep: float = 0.8, to: str = "ema") -> DataFrame:
-    """A row for each partition with the exponential average of its values: keep * old + (1 - keep) * new, seeded by the first."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
-    lists = df.groupBy(*partition_by).agg(items.alias("__items"))
-    fold = F.aggregate(F.slice(F.col("__items"), 2, F.greatest(F.lit(0), F.size("__items") - 1)), F.element_at("__items", 1).cast("double"), lambda acc, x: acc * keep + x * (1 - keep))
-    return lists.select(*partition_by, fold.alias(to))
+    """A row for each partition with the exponential average of its values: keep * old + (1 - keep) * new, seeded by the first.
+    Null if a value is null.
+
+    The fold is a sum of weights by distance from the end, so no history is held, only numbered and added up.
+    """
+    x, back = F.col(value).cast("double"), F.col("__back")
+    rows = df.withColumn("__back", F.row_number().over(Window.partitionBy(*partition_by).orderBy(F.col(order_by).desc())) - 1)
+    total = F.sum(x * F.pow(F.lit(float(keep)), back)) * (1 - keep) + F.max_by(x, back) * F.pow(F.lit(float(keep)), F.count("*"))
+    return rows.groupBy(*partition_by).agg(F.when(F.count(x) == F.count("*"), total).alias(to))

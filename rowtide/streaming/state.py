@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class Running(StatefulProcessor):
-    """Base of one-in-one-out operators: ``step(state, row)`` gives (state, output); state is a tuple of doubles."""
+    """Base of one-in-one-out operators: ``step(state, x)``, x from the column ``reads``, gives (state, output); state
+    is a tuple of doubles."""
 
-    width = 1
+    width, reads = 1, "t"
     start: tuple = (0.0,)
 
     def __init__(self, order_by: str, columns: list[str], to: str):
@@ -23,15 +24,15 @@ class Running(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", ", ".join(f"s{i} double" for i in range(self.width)))
 
-    def step(self, state: tuple, row: dict) -> tuple[tuple, object]:
+    def step(self, state: tuple, x: float) -> tuple[tuple, object]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(self.order_by, kind="stable")
         state = tuple(self.state.get()) if self.state.exists() else self.start
         out = []
-        for row in pdf.to_dict("records"):
-            state, got = self.step(state, row)
+        for x in pdf[self.reads].tolist():
+            state, got = self.step(state, x)
             out.append(got)
         self.state.update(tuple(map(float, state)))
         yield pdf[self.columns].assign(**{self.to: out})
@@ -43,10 +44,10 @@ class Running(StatefulProcessor):
 class RunningTop(Running):
     """The running maximum of the running sum of ``v``."""
 
-    width, start = 2, (0.0, float("-inf"))
+    width, start, reads = 2, (0.0, float("-inf")), "v"
 
-    def step(self, state, row):
-        total = state[0] + row["v"]
+    def step(self, state, x):
+        total = state[0] + x
         top = max(state[1], total)
         return (total, top), int(top)
 
@@ -60,8 +61,8 @@ class TimeToLive(Running):
         super().__init__(order_by, columns, to)
         self.ttl = ttl
 
-    def step(self, state, row):
-        return (row["t"],), bool(row["t"] - state[0] < self.ttl)
+    def step(self, state, x):
+        return (x,), bool(x - state[0] < self.ttl)
 
 
 class Batches(Running):
@@ -73,12 +74,12 @@ class Batches(Running):
         super().__init__(order_by, columns, to)
         self.size, self.timeout = size, timeout
 
-    def step(self, state, row):
+    def step(self, state, x):
         number, held, deadline = state
-        if held and (self.size and held >= self.size or row["t"] >= deadline):
+        if held and (self.size and held >= self.size or x >= deadline):
             number, held = number + 1, 0
         if not held:
-            deadline = row["t"] + self.timeout
+            deadline = x + self.timeout
         return (number, held + 1, deadline), int(number)
 
 

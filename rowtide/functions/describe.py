@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowtide.functions.scalars import si
 
 
 def describe_int(df: DataFrame, column: str) -> DataFrame:
@@ -63,3 +66,46 @@ def kind_of(df: DataFrame, column: str) -> DataFrame:
     """``empty``, ``zeros``, ``ones``, ``full`` (one other value) or ``mixed``."""
     low, high = F.min(column), F.max(column)
     return df.agg(F.when(F.count(column) == 0, "empty").when(low != high, "mixed").when(low == 0, "zeros").when(low == 1, "ones").otherwise("full").alias("kind"))
+
+
+def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    if not isinstance(kind, T.StructType):
+        return [(path, kind)]
+    return [leaf for field in kind.fields for leaf in _leaves(field.dataType, (*path, field.name))]
+
+
+def _measure(x: Column, kind: T.DataType) -> Column:
+    """What is described of a value: a number, a truth as 0 or 1, the length of a text, the size of a collection,
+    seconds or days of a time."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x.cast("double"))
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return x.cast("double")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.length(x).cast("double")
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.size(x).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(x.cast("timestamp")) / 1e6
+    return F.lit(None).cast("double")
+
+
+def describe_columns(df: DataFrame) -> DataFrame:
+    """A row for each column, fields of structs apart: name, kind, n, n_null, low, high, mean and population std of
+    what ``_measure`` says of it, and all this as a line of text. One pass over the data, whatever the columns."""
+    about = []
+    for path, kind in _leaves(df.schema):
+        x = F.col(".".join("`" + p.replace("`", "``") + "`" for p in path))
+        m = _measure(x, kind)
+        about.append(F.struct(
+            F.lit(".".join(path)).alias("name"), F.lit(kind.simpleString()).alias("kind"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("n_null"),
+            F.min(m).alias("low"), F.max(m).alias("high"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("std"),
+        ))
+    rows = df.agg(F.array(*about).alias("d")).select(F.explode("d").alias("d")).select("d.*")
+    span = F.when(F.col("low") == F.col("high"), si("low")).otherwise(F.concat(si("low"), F.lit(".."), si("high"), F.lit(", mean "), si("mean")))
+    return rows.withColumn("text", F.concat(
+        "name", F.lit(": "), "kind", F.lit("["), F.col("n").cast("string"), F.lit("]"), F.coalesce(F.concat(F.lit(" "), span), F.lit("")),
+        F.when(F.col("n_null") > 0, F.concat(F.lit(", "), F.col("n_null").cast("string"), F.lit(" null"))).otherwise(""),
+    ))

@@ -71,3 +71,50 @@ def to_u8(value: Column | str) -> Column:
 def hsv_colors(spark, count: int) -> DataFrame:
     """``count`` evenly spaced hues as style texts."""
     return spark.range(count).select(F.col("id").alias("i"), F.concat(F.lit("hsl("), F.floor(F.col("id") * 360 / count).cast("string"), F.lit(",100%,50%)")).alias("color"))
+
+
+def to_rgb(value: Column | str) -> Column:
+    """A grey level as r, g and b."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.struct(value.alias("r"), value.alias("g"), value.alias("b"))
+
+
+def _spread(pixels: DataFrame, key: str, rows: Column, columns: Column) -> DataFrame:
+    """New pixels as means of old ones: each old pixel goes to the new places it has a weight at, and no table of
+    places is joined."""
+    out = pixels.select(key, "value", F.explode(rows).alias("r"), columns.alias("cs")).select(key, "value", "r", F.explode("cs").alias("c"))
+    weight = F.col("r.w") * F.col("c.w")
+    means = out.groupBy(key, F.col("r.i").alias("y"), F.col("c.i").alias("x")).agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"))
+    return means.select(key, "y", "x", "value")
+
+
+def _places(low: Column, high: Column, size: int, weight) -> Column:
+    """Places (i, w) from low to high, kept inside an axis, where the weight is above zero."""
+    span = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(size - 1)).cast("int"))
+    return F.filter(F.transform(span, lambda i: F.struct(i.alias("i"), weight(i).alias("w"))), lambda p: p["w"] > 0)
+
+
+def resize_area(pixels: DataFrame, height: int, width: int, new_height: int, new_width: int, key: str = "id") -> DataFrame:
+    """Pixels of another size: each new one is the mean of the old ones under it, weighted by shared area. Null
+    values have no part in it."""
+
+    def axis(at: Column, size: int, new: int) -> Column:
+        # both axes are cut into size * new equal steps, so that shares are whole numbers
+        overlap = lambda i: F.least((at + 1) * new, (i + 1) * size) - F.greatest(at * new, i * size)
+        return _places(F.floor(at * new / size), F.ceil((at + 1) * new / size) - 1, new, overlap)
+
+    return _spread(pixels.where("value is not null"), key, axis(F.col("y"), height, new_height), axis(F.col("x"), width, new_width))
+
+
+def resize_linear(pixels: DataFrame, height: int, width: int, new_height: int, new_width: int, key: str = "id") -> DataFrame:
+    """Pixels of another size by linear interpolation between pixel centres; beyond the outer centres the border's
+    values go on. Null values have no part in it."""
+
+    def axis(at: Column, size: int, new: int) -> Column:
+        ratio = size / new
+        low = F.when(at == 0, 0).otherwise(F.floor((at - 0.5) / ratio - 0.5))
+        high = F.when(at == size - 1, new - 1).otherwise(F.ceil((at + 1.5) / ratio - 0.5))
+        source = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), (i + 0.5) * ratio - 0.5))
+        return _places(low, high, new, lambda i: 1 - F.abs(source(i) - at))
+
+    return _spread(pixels.where("value is not null"), key, axis(F.col("y"), height, new_height), axis(F.col("x"), width, new_width))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,31 @@ def padded(text: Column | str, width: int) -> Column:
     return F.concat(fill, text) if width >= 0 else F.concat(text, fill)
 
 
+def formatted(value: Column | str, spec: str) -> Column:
+    """A number in a format ``[<>][0][width][,][.digits](d|f|e|x)``, or with ``widths`` its metric text in a field of
+    that width; ``<`` puts it to the left. Decimals are rounded half to even; null stays null."""
+    got = re.fullmatch(r"([<>]?)(0?)(\d*)(,?)(?:\.(\d+))?([dfexs])", spec)
+    if got is None or got[6] in "dxs" and got[5] or got[6] == "s" and (got[2] or got[4]) or got[6] in "ex" and got[4]:
+        raise ValueError(f"unknown format {spec!r}")
+    left, zeros, width, commas, digits, kind = got.groups()
+    v, n = _column(value), int(width or 0)
+    if kind == "s":
+        text = si(v)
+    elif kind == "f":
+        places = int(digits or 6)
+        text = F.format_string(f"%{commas}.{places}f", F.rint(v.cast("double") * 10.0**places) / 10.0**places)
+    elif kind == "e":
+        text = F.format_string(f"%.{int(digits or 6)}e", v.cast("double"))
+    else:
+        text = F.format_string(f"%{commas}{kind}", v.cast("long"))
+    text = F.when(v.isNotNull(), text)
+    if zeros:
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        rest = F.regexp_replace(text, "^-", "")
+        text = F.concat(sign, F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(n) - F.length(text))), rest)
+    return padded(text, -n if left == "<" else n)
+
+
 def repr_map(m: Column | str) -> Column:
     """The entries of a map as ``a=1, b=2``."""
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("NULL")))), ", ")

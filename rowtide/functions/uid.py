@@ -49,6 +49,29 @@ def encode_uuid(uuid: Column | str) -> Column:
     return F.when(column.isNotNull(), encode(uuid_limbs(column)))
 
 
+def encode_integer(number: Column | str) -> Column:
+    """The 22 digits of a whole number, 0 or more, of at most 38 decimal digits (what a decimal holds; larger ones
+    come as UUIDs); null for null, an error below zero."""
+    column = (F.col(number) if isinstance(number, str) else number).cast("decimal(38,0)")
+
+    def split(n: Column) -> Column:
+        base = F.lit(LIMB).cast("decimal(10,0)")
+        rest = lambda x: (x % base).cast("decimal(10,0)")
+        over = lambda x: ((x - rest(x)) / base).cast("decimal(38,0)")
+        digits = F.aggregate(
+            F.sequence(F.lit(1), F.lit(4)), F.struct(n.alias("n"), F.array().cast("array<bigint>").alias("limbs")),
+            lambda acc, _: F.struct(over(acc["n"]).alias("n"), F.concat(F.array(rest(acc["n"]).cast("long")), acc["limbs"]).alias("limbs")), lambda acc: acc["limbs"],
+        )
+        return F.when(n < 0, F.raise_error(F.lit("a number below zero has no short identifier"))).when(n.isNotNull(), encode(digits))
+
+    return F.element_at(F.transform(F.array(column), split), 1)
+
+
+def random_uid() -> Column:
+    """A new random identifier (of a version 4 UUID) for each row; another one whenever the row is computed again."""
+    return F.element_at(F.transform(F.array(F.expr("uuid()")), encode_uuid), 1)
+
+
 def decode(uid: Column | str) -> Column:
     """The UUID, in text form, of 22 digits; an error for other texts and for numbers over 128 bits."""
     # bound to a variable of a lambda, so that an expression for the text is computed once and not for each digit

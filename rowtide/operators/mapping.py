@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import functools
 from collections.abc import Awaitable, Callable, Iterator
 
 import pandas as pd
@@ -46,6 +47,47 @@ def map_async(df: DataFrame, func: Callable[[tuple], Awaitable], to: str, return
     return df.mapInPandas(run, schema)
 
 
+def fold_groups(df: DataFrame, key: str, value: str, partial: Callable[[pd.Series], list], merge: Callable[[list, list], list], finish: Callable[[list], object], returns: str, to: str = "result", most_keys: int = 100_000) -> DataFrame:
+    """key and the result of an aggregation of one's own: ``partial`` makes a state (numbers in a list) of some
+    values of a key, ``merge`` one state of two, ``finish`` the result of the last.
+
+    States are merged before the shuffle, so a key with any number of rows sends a state or so a task; a task holds
+    ``most_keys`` states at most and sends them on when it has more, which changes no result. Null is a key.
+    """
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("key", kind), T.StructField("state", T.ArrayType(T.DoubleType()))])
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        frame = lambda: pd.DataFrame({"key": pd.Series(list(held), dtype=object), "state": list(held.values())})
+        for pdf in batches:
+            for k, values in pdf.groupby(key, dropna=False, sort=False)[value]:
+                k, state = None if pd.isna(k) else k, list(map(float, partial(values)))
+                held[k] = merge(held[k], state) if k in held else state
+                if len(held) >= most_keys:
+                    yield frame()
+                    held.clear()
+        if held:
+            yield frame()
+
+    def last(states: pd.Series) -> float:
+        return finish(functools.reduce(merge, map(list, states)))
+
+    states = df.select(key, value).mapInPandas(partials, schema)
+    return states.groupBy("key").agg(F.pandas_udf(last, returns)("state").alias(to)).withColumnRenamed("key", key)
+
+
+def expand(df: DataFrame, func: Callable[..., Iterator[tuple]], *columns: str, returns: str) -> DataFrame:
+    """df with each row as often as the generator function func of its columns gives a tuple, and the fields of that
+    tuple; rows for which it gives none are left out. A row's results are never held together."""
+
+    class Handler:
+        def eval(self, *args):
+            yield from func(*args)
+
+    return df.lateralJoin(F.udtf(Handler, returnType=returns)(*[F.col(c).outer() for c in columns]))
+
+
 def map_values(column: Column | str, func: Callable[[Column], Column]) -> Column:
     """The map with func applied to its values; keys stay."""
     return F.transform_values(column, lambda _, v: func(v))

@@ -40,3 +40,24 @@ def paths(nodes: DataFrame, node: str, parent: str, separator: str = "/") -> Dat
     pairs = ancestors(nodes, node, parent)
     items = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("ancestor").cast("string").alias("a"))))
     return pairs.groupBy("node").agg(F.array_join(F.transform(items, lambda x: x["a"]), separator).alias("path")).withColumnRenamed("node", node)
+
+
+def outline(nodes: DataFrame, node: str, parent: str, label: str, width: int = 80) -> DataFrame:
+    """node, depth, ``line`` (a dash for each level, then the node), its label cut to a width, and ``path`` (an array):
+    ordered by path, nodes come depth first, the last of several children before the others."""
+    pairs = ancestors(nodes, node, parent)
+    way = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), (-F.col("ancestor")).alias("a")))), lambda x: x["a"])
+    lines = pairs.groupBy(F.col("node").alias("__node")).agg(F.max("distance").alias("depth"), way.alias("path"))
+    line = F.concat(F.repeat(F.lit("-"), F.col("depth")), F.lit(" "), F.col(node).cast("string"))
+    labels = nodes.select(node, F.substring(label, 1, width).alias("label"))
+    return labels.join(lines, F.col(node) == F.col("__node")).select(node, "depth", line.alias("line"), "label", "path")
+
+
+def memory_totals(lines: DataFrame, key: str, text: str) -> DataFrame:
+    """rss, pss, uss, shared and pshared, in bytes, of each process from the lines ``Name: 12 kB`` of its memory maps:
+    uss is what is private, pshared the rest of pss. Other lines count for nothing."""
+    field = F.regexp_extract(text, r"^([A-Za-z_]+):\s*[0-9]+ kB\s*$", 1)
+    size = F.regexp_extract(text, r"^[A-Za-z_]+:\s*([0-9]+) kB\s*$", 1).try_cast("long") * 1024
+    total = lambda *names: F.coalesce(F.sum(F.when(field.isin(*names), size)), F.lit(0))
+    sums = lines.groupBy(key).agg(total("Rss").alias("rss"), total("Pss").alias("pss"), total("Private_Clean", "Private_Dirty").alias("uss"), total("Shared_Clean", "Shared_Dirty").alias("shared"))
+    return sums.withColumn("pshared", F.col("pss") - F.col("uss"))

@@ -42,7 +42,23 @@ def cache_lru(spark, sf_dir):
     return caching.lru_hits(events, "user_id", "event_id", 20, partition_by=["event_type"]).select("event_id", "hit")
 
 
-@query()
+def _trace(start: str, after: str, columns: str = "") -> str:
+    """SQL for a cache of each event type as a recursion over its accesses: ``start`` is the list held after the
+    first one, ``after`` that held after access e, given the list ``held`` before it."""
+    return f"""with recursive e as (select event_id, event_type, user_id as k, {columns or "0"} as x, row_number() over (partition by event_type order by event_id) as r from events),
+    b as (select event_id, event_type, r, false as hit, {start} as held from e where r = 1
+    union all select e.event_id, e.event_type, e.r, {after} from b join e on e.event_type = b.event_type and e.r = b.r + 1) select event_id, hit from b"""
+
+
+def _timed(full: str) -> str:
+    """The recursion step of a cache of twenty keys whose items expire six hours after their last use."""
+    alive = "list_filter(held, lambda h: h.at + 21600000000 > e.x)"
+    at = f"list_position(list_transform({alive}, lambda h: h.k), e.k)"
+    item = "[{'k': e.k, 'at': e.x}]"
+    return f"{at} is not null, case when {at} is not null then list_filter({alive}, lambda h: h.k <> e.k) when len({alive}) >= 20 then {full.format(alive)} else {alive} end || {item}"
+
+
+@query(_trace("[k]", "list_contains(held, e.k), case when list_contains(held, e.k) then list_filter(held, lambda h: h <> e.k) when len(held) >= 20 then held[1:len(held) - 1] else held end || [e.k]"))
 def cache_mru(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_id", "event_type", "user_id")
     return caching.mru_hits(events, "user_id", "event_id", 20, partition_by=["event_type"]).select("event_id", "hit")
@@ -53,16 +69,26 @@ def cache_ttl(spark, sf_dir):
     return caching.ttl_hits(table(spark, sf_dir, "events", "event_id", "user_id", "ts"), "user_id", "ts", 12 * 3600).select("event_id", "hit")
 
 
-@query()
+@query(_trace("[{'k': k, 'at': x}]", _timed("({0})[2:]"), "epoch_us(ts)"))
 def cache_ttl_lru(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "ts")
     return caching.replay(events, "user_id", "event_id", ["event_type"], ts="ts", count=20, policy="lru", ttl=6 * 3600.0).select("event_id", "hit")
 
 
-@query()
+@query(_trace("[{'k': k, 'at': x}]", _timed("({0})[1:len({0}) - 1]"), "epoch_us(ts)"))
+def cache_ttl_mru(spark, sf_dir):
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "ts")
+    return caching.replay(events, "user_id", "event_id", ["event_type"], ts="ts", count=20, policy="mru", ttl=6 * 3600.0).select("event_id", "hit")
+
+
+_SIZES = "coalesce(list_sum(list_transform(held[i + 1:], lambda h: h.s)), 0) + e.x <= 500000"
+
+
+@query(_trace("case when x <= 500000 then [{'k': k, 's': x}] else [] end", f"""list_contains(list_transform(held, lambda h: h.k), e.k), case when list_contains(list_transform(held, lambda h: h.k), e.k) then list_filter(held, lambda h: h.k <> e.k) || list_filter(held, lambda h: h.k = e.k)
+    when e.x > 500000 then held else held[list_filter(range(0, len(held) + 1), lambda i: {_SIZES})[1] + 1:] || [{{'k': e.k, 's': e.x}}] end""", "cast(round_even(value * 100, 0) as bigint)"))
 def cache_bytes(spark, sf_dir):
-    events = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "value")
-    return caching.replay(events, "user_id", "event_id", ["event_type"], size="value", nbytes=5000.0, policy="lru").select("event_id", "hit")
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "value").withColumn("cents", F.rint(F.col("value") * 100).cast("long"))
+    return caching.replay(events, "user_id", "event_id", ["event_type"], size="cents", nbytes=500_000, policy="lru").select("event_id", "hit")
 
 
 @query(f"select event_type, count(*) filter (hit) as hits, count(*) filter (not hit) as misses, count(*) as accesses from ({_STACK}) join events using (event_id) group by event_type")
@@ -186,3 +212,39 @@ def tree_totals(spark, sf_dir):
 def tree_paths(spark, sf_dir):
     nodes = table(spark, sf_dir, "part", "p_partkey").withColumn("parent", F.expr("p_partkey div 2"))
     return tree.paths(nodes, "p_partkey", "parent")
+
+
+@query("select l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) as mean from lineitem group by l_returnflag")
+def udaf_fold(spark, sf_dir):
+    import numpy as np
+
+    found = mapping.fold_groups(
+        table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", lambda x: [np.log(x).sum(), len(x)],
+        lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda s: float(np.exp(s[0] / s[1])), "double", to="mean",
+    )
+    return found.withColumn("mean", F.round("mean", 4))
+
+
+@query("select o_orderkey, k::bigint as k, o_orderkey * k as v from orders, range(o_orderkey % 4) r(k)")
+def udtf_expand(spark, sf_dir):
+    def multiples(key):
+        for k in range(key % 4):
+            yield k, key * k
+
+    return mapping.expand(table(spark, sf_dir, "orders", "o_orderkey"), multiples, "o_orderkey", returns="k bigint, v bigint")
+
+
+@query(_TREE + " select p_partkey, d::bigint as depth, repeat('-', d) || ' ' || p_partkey as line, substr(p_name, 1, 8) as label from part join (select id as p_partkey, max(d) as d from a group by id) using (p_partkey)")
+def tree_outline(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("parent", F.expr("p_partkey div 2"))
+    return tree.outline(nodes, "p_partkey", "parent", "p_name", 8).select("p_partkey", F.col("depth").cast("long").alias("depth"), "line", "label")
+
+
+@query("""select l_orderkey, cast(sum(3 * q) * 1024 as bigint) as rss, cast(sum(2 * q) * 1024 as bigint) as pss, cast(sum(q) * 1024 as bigint) as uss, cast(sum(2 * q) * 1024 as bigint) as shared, cast(sum(q) * 1024 as bigint) as pshared
+    from (select l_orderkey, cast(l_quantity as bigint) as q from lineitem) group by l_orderkey""")
+def memory_totals(spark, sf_dir):
+    size = F.col("l_quantity").cast("long")
+    names = (("Rss", 3), ("Pss", 2), ("Private_Dirty", 1), ("Shared_Clean", 2), ("Swap", 5))
+    texts = F.array(F.lit("00400000-00452000 r-xp"), *[F.format_string(f"{name}: %8d kB", size * k) for name, k in names])
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").select("l_orderkey", F.explode(texts).alias("text"))
+    return tree.memory_totals(lines, "l_orderkey", "text")

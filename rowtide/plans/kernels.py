@@ -241,3 +241,42 @@ def uid_encode(spark, sf_dir):
 def uid_decode(spark, sf_dir):
     rows = table(spark, sf_dir, "documents", "doc_id").select("doc_id", uid.encode_uuid(_uuid()).alias("uid"))
     return rows.select("doc_id", uid.decode("uid").alias("uuid"))
+
+
+@query("""with p as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as v from embeddings), y as (select o.i as r, n.i as y, least((o.i + 1) * 5, (n.i + 1) * 8) - greatest(o.i * 5, n.i * 8) as wy from range(8) o(i), range(5) n(i)),
+    x as (select o.i as c, n.i as x, least((o.i + 1) * 12, (n.i + 1) * 8) - greatest(o.i * 12, n.i * 8) as wx from range(8) o(i), range(12) n(i))
+    select vec_id as id, y, x, round(sum(v * wy * wx) / sum(wy * wx), 6) + 0.0::double as value from p join y on i // 8 = r and wy > 0 join x on i % 8 = c and wx > 0 group by all""")
+def resize_area(spark, sf_dir):
+    return _long(images.resize_area(_raster(spark, sf_dir), 8, 8, 5, 12)).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query("""with p as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as v from embeddings), y as (select o.i as r, n.i as y, 1 - abs(greatest(0, least(7, (n.i + 0.5::double) * 8 / 5 - 0.5::double)) - o.i) as wy from range(8) o(i), range(5) n(i)),
+    x as (select o.i as c, n.i as x, 1 - abs(greatest(0, least(7, (n.i + 0.5::double) * 8 / 12 - 0.5::double)) - o.i) as wx from range(8) o(i), range(12) n(i))
+    select vec_id as id, y, x, round(sum(v * wy * wx), 6) + 0.0::double as value from p join y on i // 8 = r and wy > 0 join x on i % 8 = c and wx > 0 group by all""")
+def resize_linear(spark, sf_dir):
+    return _long(images.resize_linear(_raster(spark, sf_dir), 8, 8, 5, 12)).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+_ABOUT = " union all ".join(
+    f"select '{c}' as name, '{kind}' as kind, count({c}) as n, count(*) - count({c}) as n_null, min({m})::double as low, max({m})::double as high, round(avg({m}), 4) as mean, round(stddev_pop({m}), 4) as std from documents"
+    for c, kind, m in (("doc_id", "bigint", "doc_id"), ("text", "string", "length(text)"), ("lang", "string", "length(lang)"), ("source", "string", "length(source)"), ("n_chars", "{n_chars}", "n_chars"))
+)
+
+
+@query(_ABOUT.replace("{n_chars}", "bigint"))
+def describe_columns(spark, sf_dir):
+    rows = describe.describe_columns(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"))
+    return rows.drop("text").withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query("select o_orderkey, lpad(printf('%.2f', round_even(o_totalprice * 100, 0) / 100), 14, ' ') as f, lpad(o_orderkey || '', 9, '0') as d, rpad(format('{:,}', o_orderkey), 12, ' ') as l from orders")
+def fmt_spec(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    return orders.select("o_orderkey", scalars.formatted("o_totalprice", "14.2f").alias("f"), scalars.formatted("o_orderkey", "09d").alias("d"), scalars.formatted("o_orderkey", "<12,d").alias("l"))
+
+
+@query("""with recursive n as (select doc_id, doc_id::hugeint * doc_id * 1000003000007 + 4294967296 as v from documents),
+    d as (select doc_id, v, '' as s, 0 as i from n union all select doc_id, v // 57, substr('23456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz', (v % 57)::bigint + 1, 1) || s, i + 1 from d where i < 22) select doc_id, s as uid from d where i = 22""")
+def uid_integer(spark, sf_dir):
+    number = F.expr("cast(doc_id as decimal(19,0)) * cast(doc_id as decimal(5,0)) * cast(1000003000007 as decimal(13,0)) + cast(4294967296 as decimal(10,0))")
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", uid.encode_integer(number).alias("uid"))

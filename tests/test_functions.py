@@ -143,3 +143,61 @@ def test_vector(spark, tmp_path):
     assert row["label"] == "a & b" and [[tuple(p) for p in q] for q in row["polygons"]] == [[(0, 0), (1, 0), (1, 1)], [(5, 5), (6, 5), (6, 6)]]
     again = vector.svg_texts(points, 10, 10).first()["text"]
     assert vector.parse_svg(again) == vector.parse_svg(text)
+
+
+def test_formatted(spark):
+    assert one(spark, scalars.formatted("x", "8.2f"), 1.005, -3.0, 12345.125) == ["    1.00", "   -3.00", "12345.12"]
+    assert one(spark, scalars.formatted("x", "<9,.1f"), 12345.25, None) == ["12,345.2 ", None]
+    assert one(spark, scalars.formatted("x", "06d"), 42, -42, schema="x long") == ["000042", "-00042"]
+    assert one(spark, scalars.formatted("x", "x"), 255, schema="x long") == ["ff"]
+    assert one(spark, scalars.formatted("x", "6s"), 10000.0) == ["   10k"]
+    assert one(spark, scalars.formatted("x", ".3e"), 12340.0) == ["1.234e+04"]
+    for spec in ("q", "3.2d", "05s", ".2s", ",e"):
+        with pytest.raises(ValueError):
+            scalars.formatted("x", spec)
+
+
+def test_uid_numbers(spark):
+    numbers = [0, 1, 56, 57, 2**32, 2**64 + 5, 10**38 - 1]
+    got = one(spark, uid.encode_integer(F.col("x").cast("decimal(38,0)")), *map(str, numbers), schema="x string")
+    assert got == one(spark, uid.encode_uuid("x"), *[str(uuid.UUID(int=n)) for n in numbers], schema="x string")
+    assert one(spark, uid.encode_integer("x"), None, schema="x long") == [None]
+    with pytest.raises(Exception, match="below zero"):
+        one(spark, uid.encode_integer("x"), -1, schema="x long")
+    made = [r[0] for r in spark.range(50).select(uid.decode(uid.random_uid())).collect()]
+    assert len(set(made)) == 50 and all(uuid.UUID(m).version == 4 for m in made)
+
+
+def test_resize(spark):
+    r = np.random.default_rng(5)
+    image = r.uniform(0, 1, (6, 9))
+    pixels = spark.createDataFrame([(0, y, x, float(image[y, x])) for y in range(6) for x in range(9)], "id long, y int, x int, value double")
+
+    def made(df, h, w):
+        out = np.full((h, w), np.nan)
+        for p in df.collect():
+            out[p["y"], p["x"]] = p["value"]
+        return out
+
+    assert np.allclose(made(images.resize_area(pixels, 6, 9, 3, 3), 3, 3), image.reshape(3, 2, 3, 3).mean((1, 3)))
+    assert np.allclose(made(images.resize_area(pixels, 6, 9, 12, 9), 12, 9), image.repeat(2, 0))
+    for h, w in ((6, 9), (13, 20), (4, 1)):
+        at = [np.clip((np.arange(n) + 0.5) * s / n - 0.5, 0, s - 1) for n, s in ((h, 6), (w, 9))]
+        low = [np.floor(a).astype(int) for a in at]
+        up = [np.minimum(b + 1, s - 1) for b, s in zip(low, (6, 9))]
+        fy, fx = (at[0] - low[0])[:, None], (at[1] - low[1])[None, :]
+        want = (1 - fy) * ((1 - fx) * image[np.ix_(low[0], low[1])] + fx * image[np.ix_(low[0], up[1])]) + fy * ((1 - fx) * image[np.ix_(up[0], low[1])] + fx * image[np.ix_(up[0], up[1])])
+        assert np.allclose(made(images.resize_linear(pixels, 6, 9, h, w), h, w), want)
+    assert one(spark, images.to_rgb("x"), 0.5) == [(0.5, 0.5, 0.5)]
+
+
+def test_describe_columns(spark):
+    schema = "a long, `b.c` string, s struct<x:double,l:array<int>>, t boolean"
+    df = spark.createDataFrame([(1, "ab", (float("nan"), [1, 2]), True), (3, None, (2.0, []), False), (None, "abcd", None, None)], schema)
+    got = {r["name"]: r for r in describe.describe_columns(df).collect()}
+    assert list(got) == ["a", "b.c", "s.x", "s.l", "t"]
+    assert tuple(got["a"])[1:8] == ("bigint", 2, 1, 1.0, 3.0, 2.0, 1.0)
+    assert tuple(got["b.c"])[1:7] == ("string", 2, 1, 2.0, 4.0, 3.0)
+    assert (got["s.x"]["low"], got["s.x"]["n"], got["s.l"]["high"], got["t"]["mean"]) == (2.0, 2, 2.0, 0.5)
+    assert got["a"]["text"] == "a: bigint[2] 1..3, mean 2, 1 null" and got["s.x"]["text"] == "s.x: double[2] 2, 1 null"
+    assert [r["n"] for r in describe.describe_columns(df.limit(0)).collect()] == [0] * 5

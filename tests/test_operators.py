@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowtide.operators import batching, caching, mapping, multicast, scope, tree
+from rowtide.operators import batching, caching, folding, mapping, multicast, running, scope, tree
 
 T0 = datetime(2024, 1, 1)
 
@@ -162,3 +162,68 @@ def test_cycle(spark):
     nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None), (5, 4)], "id long, parent long")
     with pytest.raises(ValueError, match="cycle"):
         tree.ancestors(nodes, "id", "parent")
+
+
+@pytest.fixture
+def tiny_batches(spark):
+    """Arrow batches of three rows, so that keys and waiting rows cross them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_fold_over_batches(rows, tiny_batches):
+    r = random.Random(7)
+    data = [(i, r.choice(["a", "b", None, "d"]), float(r.randrange(1, 9))) for i in range(97)]
+    df = rows(data, "ord long, p string, v double")
+    got = {x["ord"]: x["batch"] for x in batching.batches_by_cut(df, batching.usable_by_weight(20.0), "v", "ord", ["p"]).collect()}
+    want = {}
+    for p in {x[1] for x in data}:
+        number, held = 0, []
+        for i, _, v in (x for x in data if x[1] == p):
+            held.append(v)
+            if sum(held) >= 20 and len(held) > 1:
+                number, held = number + 1, [v]
+            want[i] = number
+    assert got == want
+    counted = folding.fold_rows(df, ["p"], "ord", list, lambda seen, part: [seen.append(v) or len(seen) for v in part["v"]], "n", T.LongType())
+    want = {i: sum(x[1] == p and x[0] <= i for x in data) for i, p, _ in data}
+    assert {x["ord"]: x["n"] for x in counted.collect()} == want
+    assert folding.fold_rows(df.limit(0), ["p"], "ord", list, lambda seen, part: [0] * len(part), "n", T.LongType()).count() == 0
+    clash = df.withColumn("__position", F.col("ord") + 1)
+    assert all(x["__position"] == x["ord"] + 1 for x in folding.fold_rows(clash, ["p"], "ord", list, lambda seen, part: [0] * len(part), "n", T.LongType()).collect())
+
+
+def test_ema_and_mangle_nulls(rows):
+    r = random.Random(3)
+    data = [(i, i % 3, r.uniform(-5, 5)) for i in range(200)]
+    got = {x["p"]: x["ema"] for x in running.ema(rows(data, "ord long, p long, v double"), "v", "ord", ["p"]).collect()}
+    for p in range(3):
+        want = None
+        for _, _, v in (x for x in data if x[1] == p):
+            want = v if want is None else 0.8 * want + 0.2 * v
+        assert abs(got[p] - want) < 1e-12
+    assert running.ema(rows([(0, 0, 1.0), (1, 0, None)], "ord long, p long, v double"), "v", "ord", ["p"]).first()["ema"] is None
+    names = rows([(0, None), (1, "x"), (2, None), (3, "x")], "ord long, n string")
+    assert column(running.mangle(names, "n", "ord"), "mangled", "ord") == [None, "x", None, "x:1"]
+
+
+def test_fold_groups(rows, tiny_batches):
+    data = [(i % 5 or None, float(i)) for i in range(100)]
+    found = mapping.fold_groups(rows(data, "k long, v double"), "k", "v", lambda x: [x.max(), x.min()], lambda a, b: [max(a[0], b[0]), min(a[1], b[1])], lambda s: s[0] - s[1], "double", most_keys=2)
+    assert {x["k"]: x["result"] for x in found.collect()} == {k: 95.0 for k in (None, 1, 2, 3, 4)}
+
+
+def test_expand(rows):
+    found = mapping.expand(rows([(0, None), (1, 2), (2, 3)], "id long, n long"), lambda n: ((k,) for k in range(n or 0)), "n", returns="k bigint")
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 0), (1, 2, 1), (2, 3, 0), (2, 3, 1), (2, 3, 2)]
+
+
+def test_outline_and_memory(rows):
+    nodes = rows([(1, 0, "init x"), (2, 1, "a"), (5, 1, "b"), (7, 2, "c"), (3, 1, None)], "pid long, ppid long, cmd string")
+    found = tree.outline(nodes.withColumn("ppid", F.when(F.col("ppid") > 0, F.col("ppid"))), "pid", "ppid", "cmd", 4)
+    assert [(x["line"], x["label"]) for x in found.orderBy("path").collect()] == [(" 1", "init"), ("- 5", "b"), ("- 3", None), ("- 2", "a"), ("-- 7", "c")]
+    lines = rows([(1, t) for t in ("Rss:   12 kB", "Pss: 8 kB", "Private_Clean: 1 kB", "Private_Dirty: 2 kB", "Shared_Dirty: 9 kB", "Rss: x kB", "7f00 rw-p", None)], "pid long, text string")
+    assert tuple(tree.memory_totals(lines, "pid", "text").first()) == (1, 12288, 8192, 3072, 9216, 5120)

@@ -76,7 +76,8 @@ def _deeper(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, distance: int) -> DataFrame:
-    a = rows.where("side in (0, 2)").select("key", F.col("fp").alias("a"), F.col("side").alias("s"))
+    # Spark takes exploded rows for as large as what they came from, and would broadcast a hundred times that
+    a = rows.where("side in (0, 2)").select("key", F.col("fp").alias("a"), F.col("side").alias("s")).hint("merge")
     b = rows.where("side in (1, 2)").select("key", F.col("fp").alias("b"), F.col("side").alias("t"))
     meet = (a["key"] == b["key"]) & F.expr(f"((s = 0 and t = 1) or (s = 2 and t = 2 and a < b)) and bit_count(a ^ b) <= {distance}")
     return a.join(b, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

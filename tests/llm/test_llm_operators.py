@@ -156,6 +156,12 @@ def test_links(spark, distance, hot):
     assert got == want
 
 
+def test_links_broadcast_no_variants(spark):
+    prints = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(prints, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(500, 500), (0, 1)]

@@ -14,6 +14,8 @@ and tasks drop later occurrences of what they have read before anything is shuff
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from rowtide.llm.storage import free_name, materialize
 REPEATED, REFINED = 0, 1
 #: Elements that are hashed at a time; longer documents are cut where no window is lost.
 SEGMENT = 1 << 20
+#: Bytes of seeds that are sifted at a time, whatever a partition holds.
+SIFTED = 16 << 20
 
 
 class Spans:
@@ -121,15 +125,36 @@ def seed_batch(parts: list[tuple[np.ndarray, ...]], within: bool) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(packed)], names=SEEDS.names)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by a long column, in lists of about ``most`` bytes, or more if one key has more; no key is in two lists."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = column_of(batch, key).to_numpy()
+        edge = int(np.searchsorted(keys, keys[-1]))
+        ends = bool(held) and column_of(held[-1], key)[-1].as_py() != keys[0]
+        if size + batch.nbytes > most and (edge or ends):
+            yield [*held, batch.slice(0, edge)] if edge else held
+            held, size = [], 0
+            batch = batch.slice(edge)
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield held
+
+
 def found(seeds: DataFrame, within: bool) -> DataFrame:
-    """Rows of FOUND: repeated occurrences, and those to be refined. One shuffle, by anchor."""
+    """Rows of FOUND: repeated occurrences, and those to be refined. One shuffle, by anchor; a task holds whole
+    anchor groups of ``SIFTED`` bytes at a time."""
+    most = SIFTED
 
     def run(batches):
-        read = [[column_of(b, n).to_numpy(zero_copy_only=False) for n in SEEDS.names] for b in batches]
-        if not read:
-            return
-        anchor, context, doc, packed = (np.concatenate(x) for x in zip(*read))
-        del read
+        for whole in whole_groups(batches, "anchor", most):
+            yield from sifted(whole)
+
+    def sifted(whole):
+        anchor, context, doc, packed = (np.concatenate([column_of(b, n).to_numpy(zero_copy_only=False) for b in whole]) for n in SEEDS.names)
         known = context == 0
         order, repeated, new_anchor = sift(anchor, context, doc, packed, within)
         group = np.cumsum(new_anchor) - 1
@@ -144,7 +169,7 @@ def found(seeds: DataFrame, within: bool) -> DataFrame:
             kind = np.where(repeated[out[a : a + 100_000]], REPEATED, REFINED).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(anchor[rows]), pa.array(doc[rows]), pa.array(packed[rows]), pa.array(kind)], names=FOUND.names)
 
-    return seeds.repartition("anchor").mapInArrow(run, FOUND)
+    return seeds.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, FOUND)
 
 
 def numbered(df: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

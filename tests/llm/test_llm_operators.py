@@ -6,15 +6,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rowtide.llm import bwt_dedup, byte_bpe, components, decontaminate, imatch, kernels, language, passages, quality, simhash, storage, token_files, url_templates
+from rowtide.llm import bwt_dedup, byte_bpe, components, decontaminate, imatch, kernels, language, passages, quality, seeds, simhash, storage, token_files, url_templates
 
 SCHEMA = "doc_id long, text string, row long, spans string, fp string, key string"
 
@@ -486,6 +488,34 @@ def test_byte_strings(docs, corpus, none, small):
     assert bwt_dedup.remove_repeats(none).collect() == []
 
 
+def test_contexts_take_bounded_memory(spark):
+    rng = np.random.default_rng(7)
+    n, size, k = 150_000, 50, 20
+    packed = seeds.pack(np.arange(n) * 100, np.full(n, 31), 30)
+    anchor, doc, begin = np.repeat(np.arange(n // 3), 3), np.arange(n) % 1000, np.arange(n) * (31 + size - 1)
+    flat = rng.integers(97, 123, n * (31 + size - 1), dtype=np.uint8)
+    flat[begin[1] : begin[2]] = flat[: begin[1]]
+    tracemalloc.start()
+    first, last = bwt_dedup.alive(anchor, doc, packed, begin, flat, size, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(flat)
+    assert np.flatnonzero(first <= last).tolist() == [0, 1] and (first[:2].tolist(), last[:2].tolist()) == ([0, 0], [30, 30])
+    found = seeds.found(spark.createDataFrame([], seeds.SEEDS), False)
+    assert "Sort [anchor" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_groups():
+    rng = random.Random(8)
+    for _ in range(200):
+        keys = sorted(rng.choices(range(-4, 5), k=rng.randrange(0, 40)))
+        cuts = sorted(rng.randrange(len(keys) + 1) for _ in range(rng.randrange(0, 9)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b], type=pa.int64())], names=["key"]) for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+        lists = [[x for b in whole for x in b.column(0).to_pylist()] for whole in seeds.whole_groups(iter(batches), "key", 40)]
+        assert [x for own in lists for x in own] == keys and sum(len(set(own)) for own in lists) == len(set(keys))
+        assert all(len(own) <= 5 + max(len(b) for b in batches) + max(map(keys.count, own)) for own in lists)
+
+
 def test_suffix_order_and_interleave():
     rng = random.Random(6)
     for _ in range(20):

@@ -200,7 +200,7 @@ def _other_pairs(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
     with over ``hot`` nodes are dealt out, each pair to one place."""
     keyed = nodes.select("node", "grp", F.posexplode("prefix").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).where("g != h").select("key")
-    rows = materialize(keyed.join(shared, "key"), "prefixes")
+    rows = materialize(keyed.hint("merge").join(shared, "key"), "prefixes")  # exploded rows, as in _pairs
     lists = rows.groupBy("key").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("list"), F.min(F.struct("node", "pos")).alias("head"))
     one = lists.groupBy("list", "count", "head.node").agg(F.min(F.struct("head.pos", "key"))["key"].alias("key"))
     one = one.select("key", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
@@ -212,7 +212,7 @@ def _other_pairs(nodes: DataFrame, similarity: float, hot: int) -> DataFrame:
     b = _side(rows, "b", "key", F.col("grp").alias("y"), F.col("pos").alias("j"), F.col("before").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     enough = f"least(an - i, bn - j) >= (an + bn) * {similarity / (1 + similarity)!r}D - 1e-6D"
     meet = (a["key"] == b["key"]) & (a["chunk"] == b["chunk"]) & F.expr(f"a < b and x != y and {enough} and {_differ(similarity)} and not arrays_overlap(p, q)")
-    return a.join(b, meet).select("a", "b")
+    return a.hint("merge").join(b, meet).select("a", "b")
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, hot: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,7 +247,7 @@ def _groups(df: DataFrame, words: int, similarity: float, distance: int, hot: in
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1")
-    hits = materialize(keyed.join(shared, "key"), "hits")
+    hits = materialize(keyed.hint("merge").join(shared, "key"), "hits")
     texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     reps = materialize(nodes.select("node", "rep"), "reps")
 

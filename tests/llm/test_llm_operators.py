@@ -164,6 +164,15 @@ def test_links_broadcast_no_variants(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_other_pairs_broadcast_no_postings(spark):
+    zero = [F.lit(0).cast("long").alias(s) for s in simhash._SKETCHES]
+    nodes = spark.range(40).select(F.col("id").alias("node"), F.col("id").alias("grp"), F.lit(5).cast("long").alias("n"), F.array((F.col("id") % 20) * 9).alias("prefix"), *zero)
+    pairs = simhash._other_pairs(nodes, 0.8, 300)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, pairs.collect())) == [(i, i + 20) for i in range(20)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(500, 500), (0, 1)]

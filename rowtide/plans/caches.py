@@ -120,7 +120,8 @@ def batch_timeout(spark, sf_dir):
     union all select e.event_id, e.user_id, e.r, case when held + e.v >= 500 then batch + 1 else batch end, case when held + e.v >= 500 then e.v else held + e.v end
     from b join e on e.user_id = b.user_id and e.r = b.r + 1) select event_id, batch from b""")
 def batch_weight(spark, sf_dir):
-    return batching.batches_by_cut(table(spark, sf_dir, "events", "event_id", "user_id", "value"), batching.usable_by_weight(500.0), "value", "event_id", ["user_id"]).select("event_id", "batch")
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    return batching.batches_by_cut(events, batching.usable_by_weight(500.0), "value", F.col("event_id").asc_nulls_last(), ["user_id"]).select("event_id", "batch")
 
 
 @query("select reader, event_id from events join (values ('a', 0), ('b', 500), ('c', 9990)) r(reader, pos) on event_id >= pos")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,24 +13,42 @@ from pyspark.sql import types as T
 #: Prefixes of powers of 1000, from 10**-30 to 10**30, and of 1024.
 METRIC = ("q", "r", "y", "z", "a", "f", "p", "n", "u", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y", "R", "Q")
 BINARY = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB", "RiB", "QiB")
+#: A double times this, less the difference, leaves the upper half of its digits.
+_SPLIT = 2.0**27 + 1
 
 
 def _column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _least(bound: str) -> float:
+    """The least double that is not below a decimal number: a double is below the one if it is below the other."""
+    near = float(bound)
+    return near if Fraction(near) >= Fraction(bound) else math.nextafter(near, math.inf)
+
+
 def _fixed(v: Column, digits: int) -> Column:
-    """v with so many decimals, halves to even as the number is stored."""
-    return F.format_string(f"%.{digits}f", F.rint(v * 10.0**digits) / 10.0**digits)
+    """v with so many decimals, rounded as the double itself is, not as its product with a power of ten; ties to even,
+    null stays null."""
+    power = 10.0**digits
+    product, whole = v * power, F.rint(v * power)
+    high = v * _SPLIT - (v * _SPLIT - v)
+    # product + rest is the exact product (Dekker), so rest says on which side of a tie v is
+    rest = (high * power - product) + (v - high) * power
+    whole = F.when((F.abs(product - whole) == 0.5) & (rest != 0), product + F.signum(rest) * 0.5).otherwise(whole)
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", whole / power))
 
 
 def _three(v: Column) -> Column:
     """v, below 1000 or so, to three significant digits without trailing zeros; whole numbers from 99.95 on."""
     size = F.abs(v)
     text = _fixed(v, 1)
-    for digits, bound in ((2, 9.995), (3, 0.9995), (4, 0.09995), (5, 0.009995)):
-        text = F.when(size < bound, _fixed(v, digits)).otherwise(text)
-    return F.when(size < 99.95, F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(_fixed(v, 0))
+    for digits, bound in ((2, "9.995"), (3, "0.9995"), (4, "0.09995"), (5, "0.009995"), (6, "0.0009995")):
+        text = F.when(size < _least(bound), _fixed(v, digits)).otherwise(text)
+    text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+    text = F.when(size < _least("0.00009995"), F.regexp_replace(F.format_string("%.2e", v), r"\.?0+e", "e")).otherwise(text)
+    text = F.when(size < 99.95, text).otherwise(_fixed(v, 0))
+    return F.when(F.isnan(v), "nan").when(size == math.inf, F.when(v < 0, "-inf").otherwise("inf")).otherwise(text)
 
 
 def _ladder(v: Column, base: float, units: tuple[str, ...], zero: int) -> Column:
@@ -39,10 +59,11 @@ def _ladder(v: Column, base: float, units: tuple[str, ...], zero: int) -> Column
     return F.element_at(F.transform(one, lambda s: F.concat(_three(s["x"]), s["u"])), 1)
 
 
-def si(value: Column | str) -> Column:
-    """A number with a metric prefix, to three digits: 10000 is ``10k``."""
+def si(value: Column | str, units: tuple[str, ...] = METRIC) -> Column:
+    """A number with a metric prefix, to three digits: 10000 is ``10k``. Fewer ``units``, neighbours with the empty one
+    among them, leave the numbers beyond to the first and the last."""
     v = _column(value).cast("double")
-    return F.when(v == 0, "0").otherwise(_ladder(v, 1000, METRIC, METRIC.index("")))
+    return F.when(v == 0, "0").otherwise(_ladder(v, 1000, units, units.index("")))
 
 
 def si_bin(value: Column | str) -> Column:

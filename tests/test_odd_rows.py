@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables of rows that the standard ones lack."""
 
 import functools
+import math
 import operator
 
 import duckdb
@@ -47,3 +48,12 @@ def test_batch_weight_adds_in_order(both):
     assert functools.reduce(operator.add, users[0][:4]) < 500 <= sum(users[0][:4])
     got, want = both("batch_weight", "events", event_id=pa.array(event_id, pa.int64()), user_id=pa.array(user_id, pa.int64()), value=pa.array(value, pa.float64()))
     assert got == want and len(got) == len(rows)
+
+
+def test_fmt_si_rounds_the_double_itself(both):
+    ties = [9895.0, 65450.0, 1125.0, 1115.0, 1005.0, 9995.0, 9985.0, 12250.0, 12350.0, 99950.0, 100500.0, 101500.0, 112.5, 113.5, 12.25, 12.35, 1.005, 9.995, 0.9995, 0.09995, 0.5, 0.000125]
+    edges = [0.0, 0.01, 0.00012345, 0.00001, 0.000125e-3, 999.4999999999999, 999.5, 999499.9999999999, 999500.0, 99949999.9, 99950000.0, 999500000.0, 5e9, float("nan"), float("inf"), None]
+    prices = [*ties, *edges, *(i * 5 / 10 + 1000 for i in range(0, 40_000, 7)), *(i * 5.0 for i in range(200, 200_000, 13)), *(i * 500.0 for i in range(2000, 200_000, 17))]
+    prices = [q for p in prices for q in ([p] if p is None or not 0 < p < 1e12 else [p, math.nextafter(p, 0), math.nextafter(p, math.inf)])]
+    got, want = both("fmt_si", "orders", o_orderkey=pa.array(range(len(prices)), pa.int64()), o_totalprice=pa.array(prices, pa.float64()))
+    assert [(prices[g[0]], g, w) for g, w in zip(got, want) if g != w] == [] and len(got) == len(prices)
